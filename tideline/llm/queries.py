@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import secrets, token_count, token_files
+from . import jaccard_join, secrets, token_count, token_files
 
 
 def _tokenizer(name: str) -> str:
@@ -19,6 +19,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_components(_documents(spark, sf_dir))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(secrets.find_secrets(_documents(spark, sf_dir)))
 
@@ -32,7 +36,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op8_secret_scan, op9_token_id_files, op10_token_counts)
+    f.__name__: f for f in (op7_ngram_jaccard_join, op8_secret_scan, op9_token_id_files, op10_token_counts)
 }
 
 #: DuckDB SQL where SQL can express a query on whole tables in reasonable time.

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, lattice_lm, secrets, token_count, token_files
+from . import jaccard_join, lattice_lm, line_dedup, secrets, token_count, token_files
 
 
 def _tokenizer(name: str) -> str:
@@ -19,6 +19,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op5_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(_documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op6_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_lm.lattice_scores(_documents(spark, sf_dir), _tokenizer("piece_bpe_32k.model"))
 
@@ -40,7 +44,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op6_lattice_scores, op7_ngram_jaccard_join, op8_secret_scan, op9_token_id_files, op10_token_counts)
+    f.__name__: f for f in (op5_fuzzy_lines, op6_lattice_scores, op7_ngram_jaccard_join, op8_secret_scan, op9_token_id_files, op10_token_counts)
 }
 
 #: DuckDB SQL where SQL can express a query on whole tables in reasonable time.

@@ -214,7 +214,8 @@ def lattice_scores(docs: DataFrame, vocabulary: str, *, key: str = "doc_id", tex
         _learn(lattice, seen.filter(F.col("word") != END), rounds)
     shared = docs.sparkSession.sparkContext.broadcast(lattice)
     words, kinds = n - ends, v - (ends > 0)
-    discount = min(0.9, max(n1 / (n1 + 2 * n2) if n1 else 0.0, 1 / max(kinds, 2)))  # at least one token's mass is left to new words
+    mass = (n1 + 1) / max(kinds, 1)  # few words seen once: little is left to new ones
+    discount = min(0.9, mass, n1 / (n1 + 2 * n2) if n1 else 0.5)
     p_end = (ends + 1) / (n + 2)
     lattice_share = discount * kinds / words if words else 1.0
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import jaccard_join, lattice_lm, line_dedup, secrets, token_count, token_files
+from . import ann_search, decontaminate, jaccard_join, lattice_lm, line_dedup, packing, secrets, token_count, token_files, toxicity
 
 
 def _tokenizer(name: str) -> str:
@@ -19,6 +20,22 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op2_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_search.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op4_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"))
+
+
 def op5_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(_documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", "text")
 
@@ -44,7 +61,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_fuzzy_lines, op6_lattice_scores, op7_ngram_jaccard_join, op8_secret_scan, op9_token_id_files, op10_token_counts)
+    f.__name__: f for f in (op1_benchmark_leaks, op2_nearest_vectors, op3_toxicity, op4_retrieval_packing, op5_fuzzy_lines, op6_lattice_scores, op7_ngram_jaccard_join, op8_secret_scan, op9_token_id_files, op10_token_counts)
 }
 
 #: DuckDB SQL where SQL can express a query on whole tables in reasonable time.

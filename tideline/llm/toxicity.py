@@ -99,16 +99,19 @@ class LabelModel:
                 self.tables[:, c, v] = (((votes == v) * (n * p)[:, None]).sum(0) + 0.5) / ((n * p).sum() + 1.5)
 
     def fit(self, votes: np.ndarray, n: np.ndarray, start: np.ndarray, rounds: int = 25) -> LabelModel:
-        """EM over distinct vote rows with their numbers, beginning at posteriors ``start``."""
-        self.tables, self.weights = np.full((len(self.voters), 2, 3), 1 / 3), np.ones(len(self.voters))
+        """EM over distinct vote rows with their numbers, beginning at posteriors ``start``.
+
+        Correlations are taken at the start: once EM has settled, voters that agree by habit have
+        become the class and look independent.
+        """
+        self.tables = np.full((len(self.voters), 2, 3), 1 / 3)
+        self.correlations = self._correlate(votes > 0, n, start)
+        self.weights = 1 / (1 + np.clip(self.correlations, 0, 1).sum(1))
+        self.weights /= max(self.weights.max(), 1e-9)
         q = start
-        for step in range(2 * rounds):
+        for _ in range(rounds):
             self._maximise(votes, n, q)
             q = self.posterior(votes)
-            if step == rounds - 1:
-                self.correlations = self._correlate(votes > 0, n, q)
-                self.weights = 1 / (1 + np.clip(self.correlations, 0, 1).sum(1))
-                self.weights /= max(self.weights.max(), 1e-9)
         right = np.where(votes > 0, q[:, None], 1 - q[:, None])
         self.accuracies = (right * n[:, None]).sum(0) / n.sum()
         return self

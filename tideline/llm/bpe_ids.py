@@ -18,7 +18,7 @@ from . import ragged
 class BytePairIds:
     """``encode`` gives the ids of texts; ``cap`` bounds the pre-tokens held between calls."""
 
-    def __init__(self, path: str, cap: int = 300_000):
+    def __init__(self, path: str, cap: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

@@ -77,7 +77,7 @@ def pattern_votes(text: str) -> list[int]:
 
 @dataclass
 class LabelModel:
-    """Class-conditional vote tables of each voter, with weights that correlated voters share."""
+    """Class-conditional vote tables of each voter, with weights that correlated voters share; the last voter is the marks."""
 
     voters: list[str]
     prior: float = 0.1
@@ -108,6 +108,7 @@ class LabelModel:
         self.correlations = self._correlate(votes > 0, n, start)
         self.weights = 1 / (1 + np.clip(self.correlations, 0, 1).sum(1))
         self.weights /= max(self.weights.max(), 1e-9)
+        self.weights[-1] = 1.0  # the marks are what the class means; they share with none
         q = start
         for _ in range(rounds):
             self._maximise(votes, n, q)

@@ -55,6 +55,17 @@ def test_matches_brute_force(spark, tile):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows)
 
 
+def test_lower_threshold_matches_brute_force(spark):
+    rows = corpus(7)
+    sets = {i: shingles(t, 5) for i, t in rows}
+    got = {r.doc_id: r.component_id for r in similar_components(spark.createDataFrame(rows, "doc_id long, text string"), shingle=5, num=80).collect()}
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if i < j and a and b and 100 * len(a & b) >= 80 * len(a | b):
+                assert got[i] == got[j]
+    assert all(got[i] == i or any(got[j] == got[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) for j in sets if j != i) for i in sets)
+
+
 def test_edge_rows(spark):
     rows = [(1, None, "a"), (2, "", "b"), (3, " \n\t", None), (4, "One two", "d"), (5, "one  TWO", "e"), (6, "é é", "f"), (None, "one two", "g"), (4, "One two", "d"), (7, "x " * 30000, "h"), (8, "x", "i")]
     df = spark.createDataFrame(rows, "doc_id long, text string, component_id string")
@@ -65,12 +76,16 @@ def test_edge_rows(spark):
 
 def test_bands_share_a_range():
     rng = np.random.default_rng(5)
-    bands = SizeBands(90, 100, 5000)
-    for n in (9, 10, 11, 19, 37, 100, 431, 2000):
+    for num in (80, 90):
+        check_bands(rng, num, SizeBands(num, 100, 5000))
+
+
+def check_bands(rng, num, bands):
+    for n in (4, 5, 9, 10, 11, 19, 37, 100, 431, 2000):
         base = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
-        for drop in range(0, n // 10 + 1, max(1, n // 40)):
+        for drop in range(0, n // 4 + 1, max(1, n // 40)):
             other = np.sort(rng.permutation(base)[drop:])
-            if 100 * len(other) < 90 * n:
+            if 100 * len(other) < num * n:
                 continue
             a, b = (set(bands.signatures(x, np.array([len(x)]))[0].tolist()) for x in (base, other))
             assert drop == 0 or a & b

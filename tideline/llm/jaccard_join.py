@@ -1,7 +1,7 @@
 """Set-similarity join on word shingles: signature trees over exact candidate blocks.
 
 1. Every text becomes its set of 64-bit shingle hashes; equal sets form one class by fingerprint.
-2. Texts whose sets differ in at most d shingles agree on one of d + 1 hash ranges, so classes
+2. Texts whose sets differ in at most d shingles agree on one of more than d hash ranges, so classes
    that share a range's content (within neighbouring size bands) are put in one block; blocks that
    overlap are merged.  This loses no pair at the threshold, and the merged blocks are disjoint.
 3. Each block builds a signature tree: leaves are sets, inner nodes hold the OR of their token
@@ -53,17 +53,22 @@ class SizeBands:
             edges.append(edges[-1] * den // num + 1)
         self.edges = np.array(edges, np.int64)
         top = self.edges[1:] - 1
-        self.ranges = (top + top * den // num) * (den - num) // (den + num) + 1  # of pairs whose smaller set is in the band
+        self.apart = (top + top * den // num) * (den - num) // (den + num)  # most shingles in which a pair differs whose smaller set is in the band
+        self.ranges = self.apart * 11 // 10 + 2
 
     def signatures(self, h: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Range signatures of each set, end to end, and their number.  Bands where only equal sets can link give none."""
+        """Range signatures of each set, end to end, and their number.  Bands where only equal sets can link give none.
+
+        A set that fills more ranges than a pair can differ in shares a filled range with every
+        partner, so it needs no signature for its empty ranges, in which unlike sets would meet.
+        """
         band = np.searchsorted(self.edges, count, "right") - 1
         out, doc = [], []
         scrambled = ragged.mix(h)
         first = np.cumsum(count) - count
         for back in (0, 1):
             own = np.flatnonzero((count > 0) & (band - back >= 0))
-            own = own[self.ranges[band[own] - back] > 1]
+            own = own[self.apart[band[own] - back] > 0]
             if not len(own):
                 continue
             group = band[own] - back
@@ -76,8 +81,12 @@ class SizeBands:
             total[slot[begin]] = np.add.reduceat(scrambled[at], begin)
             part = ragged.spread(np.zeros(len(own), np.int64), parts)
             label = ragged.mix((np.repeat(group, parts).astype(np.uint64) << np.uint64(32)) + part.astype(np.uint64) + _EMPTY_SEED)
-            out.append(ragged.mix(total ^ label))
-            doc.append(np.repeat(own, parts))
+            filled = np.zeros(len(total), bool)
+            filled[slot[begin]] = True
+            few = np.add.reduceat(filled.astype(np.int64), np.cumsum(parts) - parts) <= self.apart[group]
+            kept = filled | np.repeat(few, parts)
+            out.append(ragged.mix(total ^ label)[kept])
+            doc.append(np.repeat(own, parts)[kept])
         if not out:
             return np.empty(0, np.uint64), np.zeros(len(count), np.int64)
         sig, doc = np.concatenate(out), np.concatenate(doc)

@@ -27,30 +27,41 @@ from .shared import crc_mod, materialize, texts
 
 MARK = "▁"  # opens a word in sentencepiece vocabularies
 END = "\n"  # stands for a text's end in the word table; no word holds white space
+_HASH = 0x9E3779B97F4A7C15
 _NULL_KEY = np.iinfo(np.int64).min
 
 
-def _log_sum(terms: list[float]) -> float:
-    top = max(terms)
-    return top if len(terms) == 1 else top + math.log(sum(math.exp(t - top) for t in terms))
-
-
 class Lattice:
-    """Piece weights: ``first`` and ``rest`` map pieces to numbers of ``weight`` (natural logs); ``stop`` is the chance to end after a piece."""
+    """Piece weights: ``first`` and ``rest`` map pieces to numbers of ``weight`` (natural logs); ``stop`` is the chance to end after a piece.
+
+    Words are handled in batches on flat arrays: node ``i`` of a word stands before its character
+    ``i``, an edge is a piece that leads from one node to a later one (from -1 where it opens the
+    word), and the recursions take one character position of all words of a batch at a time.
+    """
 
     def __init__(self, first: dict[str, int], rest: dict[str, int], byte: list[int], weight: np.ndarray, stop: float = 0.4):
         self.first, self.rest, self.byte = first, rest, byte
         self.weight, self.stop = weight, stop
-        self.longest = max(map(len, [*first, *rest]), default=1)
-        self._ready()
-
-    def _ready(self) -> None:
-        more = math.log1p(-self.stop)
-        self.log_stop = math.log(self.stop)
-        w = self.weight.tolist()
-        self.w_first = {p: w[i] for p, i in self.first.items()}
-        self.w_rest = {p: w[i] + more for p, i in self.rest.items()}
-        self.w_byte = [w[i] + more for i in self.byte]
+        self._tables()
+
+    def _tables(self) -> None:
+        """Per length the sorted hashes of all beginnings of pieces, and the pieces (or -1) that they are."""
+        levels: list[dict[int, list[int]]] = []
+        for column, pieces in enumerate((self.first, self.rest)):
+            for piece, number in pieces.items():
+                h, level = 0, {}
+                for n, char in enumerate(piece):
+                    h = ((h ^ ord(char)) * _HASH) & 0xFFFFFFFFFFFFFFFF
+                    h ^= h >> 29
+                    if n == len(levels):
+                        levels.append({})
+                    level = levels[n].setdefault(h, [-1, -1])
+                if piece:
+                    level[column] = number
+        self.levels = []
+        for level in levels:
+            order = sorted(level)
+            self.levels.append((np.array(order, np.uint64), np.array([level[h] for h in order], np.int64)))
 
     @classmethod
     def load(cls, path: str) -> Lattice:
@@ -89,67 +100,148 @@ class Lattice:
             weight[own] = np.log((counts[own] + strength * share) / (counts[own].sum() + strength))
         self.weight = weight
         self.stop = min(0.99, max(0.01, (words + 40.0) / (pieces + 100.0)))
-        self._ready()
+
+    def _edges(self, words: list[str]) -> tuple[np.ndarray, ...]:
+        """``start, end, weight, piece, word, position of end`` of all edges; piece -2 - c spells the character c in bytes."""
+        more = math.log1p(-self.stop)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        cp = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        word = np.repeat(np.arange(len(words)), size)
+        begin = np.cumsum(size) - size
+        inner = np.arange(len(cp)) - begin[word]
+        node = np.arange(len(cp)) + word
+        wide = cp.astype(np.uint64)
+        start, piece, length, chars = [], [], [], []
+
+        def add(at: np.ndarray, opening: bool, pieces: np.ndarray, n: int) -> None:
+            chars.append(at)
+            start.append(np.full(len(at), -1) if opening else node[at])
+            piece.append(pieces)
+            length.append(np.full(len(at), n))
+
+        at, h = np.arange(len(cp)), np.zeros(len(cp), np.uint64)
+        spell = np.ones(len(cp), bool)
+        for n, (hashes, pieces) in enumerate(self.levels, 1):
+            fits = inner[at] + n <= size[word[at]]
+            at, h = at[fits], h[fits]
+            if not len(at):
+                break
+            h = (h ^ wide[at + (n - 1)]) * np.uint64(_HASH)
+            h ^= h >> np.uint64(29)
+            slot = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            known = hashes[slot] == h
+            at, h, slot = at[known], h[known], slot[known]
+            opens = (pieces[slot, 0] >= 0) & (inner[at] == 0)
+            add(at[opens], True, pieces[slot[opens], 0], n)
+            goes = pieces[slot, 1] >= 0
+            add(at[goes], False, pieces[slot[goes], 1], n)
+            if n == 1:
+                spell[at[goes]] = False
+        lone = np.flatnonzero(spell)
+        add(lone, False, -2 - cp[lone].astype(np.int64), 1)
+        start, piece, length, chars = map(np.concatenate, (start, piece, length, chars))
+        owner = word[chars]
+        end, position = node[chars] + length, inner[chars] + length
+        weight = np.empty(len(piece))
+        plain = piece >= 0
+        weight[plain] = self.weight[piece[plain]] + np.where(start[plain] >= 0, more, 0.0)
+        spelled, which = np.unique(piece[~plain], return_inverse=True)
+        weight[~plain] = np.array([self._spelled(chr(-2 - p)) for p in spelled.tolist()])[which] if len(spelled) else 0.0
+        if "" in self.first:
+            k = len(words)
+            start, end = np.append(start, np.full(k, -1)), np.append(end, begin + np.arange(k))
+            weight, piece = np.append(weight, np.full(k, self.weight[self.first[""]])), np.append(piece, np.full(k, self.first[""]))
+            owner, position = np.append(owner, np.arange(k)), np.append(position, np.zeros(k, np.int64))
+        order = np.lexsort((end, position))
+        return tuple(x[order] for x in (start, end, weight, piece, owner, position))
+
+    @property
+    def w_first(self) -> dict[str, float]:
+        return {p: float(self.weight[i]) for p, i in self.first.items()}
+
+    @property
+    def w_rest(self) -> dict[str, float]:
+        return {p: float(self.weight[i]) + math.log1p(-self.stop) for p, i in self.rest.items()}
+
+    def _bytes(self, char: str) -> list[int]:
+        return [self.byte[b] for b in char.encode("utf-8", "surrogatepass")]
 
     def _spelled(self, char: str) -> float:
-        return sum(self.w_byte[b] for b in char.encode("utf-8", "surrogatepass"))
+        return sum(float(self.weight[b]) + math.log1p(-self.stop) for b in self._bytes(char))
+
+    @staticmethod
+    def _forward(start: np.ndarray, end: np.ndarray, weight: np.ndarray, position: np.ndarray, nodes: int) -> np.ndarray:
+        """Log probability to reach each node; the last entry is that of starting, 0."""
+        alpha = np.full(nodes + 1, -np.inf)
+        alpha[-1] = 0.0
+        _steps(alpha, start, end, weight, position)
+        return alpha
+
+    def log_probs(self, words: list[str]) -> np.ndarray:
+        """Natural log of the probability of each non-empty word, summed over all its segmentations."""
+        out = []
+        for batch in _by_length(words):
+            start, end, weight, _, _, position = self._edges(batch)
+            sizes = np.fromiter(map(len, batch), np.int64, len(batch))
+            alpha = self._forward(start, end, weight, position, int(sizes.sum()) + len(batch))
+            out.append(alpha[np.cumsum(sizes + 1) - 1] + math.log(self.stop))
+        return np.concatenate(out) if out else np.empty(0)
 
     def log_prob(self, word: str) -> float:
-        """Natural log of the probability summed over all segmentations of a non-empty word."""
-        n, longest, first, rest = len(word), self.longest, self.w_first, self.w_rest
-        into: list[list[float]] = [[] for _ in range(n + 1)]
-        for j in range(min(n, longest) + 1):
-            w = first.get(word[:j])
-            if w is not None:
-                into[j].append(w)
-        for i in range(n):
-            if not into[i]:
-                continue
-            a = _log_sum(into[i])
-            for j in range(i + 1, min(n, i + longest) + 1):
-                w = rest.get(word[i:j])
-                if w is not None:
-                    into[j].append(a + w)
-            if word[i] not in rest:
-                into[i + 1].append(a + self._spelled(word[i]))
-        return _log_sum(into[n]) + self.log_stop
+        return float(self.log_probs([word])[0])
+
+    def expect_all(self, words: list[str], count: np.ndarray, counts: np.ndarray) -> float:
+        """Add the expected uses of each piece in words that occur ``count`` times; returns the expected number of pieces."""
+        used, done = 0.0, 0
+        for batch in _by_length(words):
+            times, done = count[done : done + len(batch)], done + len(batch)
+            start, end, weight, piece, owner, position = self._edges(batch)
+            sizes = np.fromiter(map(len, batch), np.int64, len(batch))
+            last = np.cumsum(sizes + 1) - 1
+            alpha = self._forward(start, end, weight, position, int(sizes.sum()) + len(batch))
+            beta = np.full(len(alpha), -np.inf)
+            beta[last] = 0.0
+            inside = np.flatnonzero(start >= 0)
+            back = start[inside] - (last - sizes)[owner[inside]]
+            inside = inside[np.lexsort((start[inside], -back))]
+            _steps(beta, end[inside], start[inside], weight[inside], start[inside] - (last - sizes)[owner[inside]])
+            reach = alpha[start] + weight + beta[end] - alpha[last][owner]
+            share = times[owner] * np.exp(np.minimum(0.0, reach))
+            plain = piece >= 0
+            counts += np.bincount(piece[plain], share[plain], len(counts))
+            used += float(share[plain].sum())
+            spelled, which = np.unique(piece[~plain], return_inverse=True)
+            for p, x in zip(spelled.tolist(), np.bincount(which, share[~plain], len(spelled)).tolist()):
+                for b in self._bytes(chr(-2 - p)):
+                    counts[b] += x
+                    used += x
+        return used
 
     def expect(self, word: str, count: float, counts: np.ndarray) -> float:
-        """Add the expected uses of each piece; returns the expected number of pieces."""
-        n, longest = len(word), self.longest
-        edges: list[list[tuple[int, float, list[int]]]] = [[] for _ in range(n + 1)]  # by end: start (-1: opening), weight, pieces
-        for j in range(min(n, longest) + 1):
-            w = self.w_first.get(word[:j])
-            if w is not None:
-                edges[j].append((-1, w, [self.first[word[:j]]]))
-        for i in range(n):
-            for j in range(i + 1, min(n, i + longest) + 1):
-                w = self.w_rest.get(word[i:j])
-                if w is not None:
-                    edges[j].append((i, w, [self.rest[word[i:j]]]))
-            if word[i] not in self.rest:
-                edges[i + 1].append((i, self._spelled(word[i]), [self.byte[b] for b in word[i].encode("utf-8", "surrogatepass")]))
-        alpha = [-math.inf] * n + [-math.inf, 0.0]  # the last stands for start -1
-        for j in range(n + 1):
-            terms = [alpha[i] + w for i, w, _ in edges[j] if alpha[i] > -math.inf]
-            if terms:
-                alpha[j] = _log_sum(terms)
-        back: list[list[float]] = [[] for _ in range(n + 2)]
-        back[n] = [0.0]
-        total, used = alpha[n], 0.0
-        for j in range(n, -1, -1):
-            if not back[j] or alpha[j] == -math.inf:
-                continue
-            beta = _log_sum(back[j])
-            for i, w, pieces in edges[j]:
-                if alpha[i] == -math.inf:
-                    continue
-                back[i].append(w + beta)
-                share = count * math.exp(min(0.0, alpha[i] + w + beta - total))
-                used += share * len(pieces)
-                for p in pieces:
-                    counts[p] += share
-        return used
+        return self.expect_all([word], np.array([count]), counts)
+
+
+def _by_length(words: list[str], chars: int = 1 << 18) -> Iterator[list[str]]:
+    """Consecutive words of about ``chars`` characters in all, one at least."""
+    at, held = 0, 0
+    for i, word in enumerate(words):
+        if i > at and held + len(word) > chars:
+            yield words[at:i]
+            at, held = i, 0
+        held += len(word)
+    if at < len(words):
+        yield words[at:]
+
+
+def _steps(value: np.ndarray, start: np.ndarray, end: np.ndarray, weight: np.ndarray, position: np.ndarray) -> None:
+    """Log-space recursion: ``value[end]`` sums ``value[start] + weight`` over its edges, which lie grouped by position, then end."""
+    if not len(end):
+        return
+    cuts = np.flatnonzero(np.diff(position)) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(end)]):
+        to = end[a:b]
+        head = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
+        value[to[head]] = np.logaddexp.reduceat(value[start[a:b]] + weight[a:b], head)
 
 
 def _postings(rows: DataFrame, key: str, text: str, limit: int = 8 << 20) -> DataFrame:
@@ -184,9 +276,9 @@ def _learn(lattice: Lattice, counted: DataFrame, rounds: int) -> None:
             model = shared.value
             counts, words, pieces = np.zeros(len(model.weight)), 0.0, 0.0
             for batch in batches:
-                for word, c in zip(batch.column("word").to_pylist(), batch.column("c").to_pylist()):
-                    pieces += model.expect(word, c, counts)
-                    words += c
+                c = batch.column("c").to_numpy(zero_copy_only=False).astype(float)
+                pieces += model.expect_all(batch.column("word").to_pylist(), c, counts)
+                words += float(c.sum())
             some = np.flatnonzero(counts)
             yield pa.record_batch([pa.array(np.concatenate([some, [-1, -2]])), pa.array(np.concatenate([counts[some], [words, pieces]]))], ["piece", "n"])
 
@@ -222,16 +314,12 @@ def lattice_scores(docs: DataFrame, vocabulary: str, *, key: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            out = []
-            for word, c in zip(batch.column("word").to_pylist(), batch.column("c").to_pylist()):
-                if word == END:
-                    out.append(math.log10(p_end))
-                    continue
-                low = model.log_prob(word) + math.log(lattice_share)
-                if c:
-                    own = math.log((c - discount) / words)
-                    low = _log_sum([own, low])
-                out.append((low + math.log1p(-p_end)) / math.log(10))
+            low = model.log_probs(batch.column("word").to_pylist()) + math.log(lattice_share)
+            c = batch.column("c").to_numpy(zero_copy_only=False)
+            seen = c > 0
+            low[seen] = np.logaddexp(np.log((c[seen] - discount) / max(words, 1)), low[seen])
+            ends_here = np.array(batch.column("word").to_pylist()) == END
+            out = np.where(ends_here, math.log10(p_end), (low + math.log1p(-p_end)) / math.log(10))
             yield pa.record_batch([batch.column("word"), batch.column("c"), pa.array(out, pa.float64())], ["word", "c", "lp"])
 
     scored = counted.mapInArrow(run, "word string, c long, lp double")

@@ -37,7 +37,7 @@ def op4_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(_documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", "text")
+    return line_dedup.dedup_lines(_documents(spark, sf_dir), bits=None).select("doc_id", "n_lines", "n_dropped", "text")
 
 
 def op6_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,10 @@
 1. Coarse centroids and residual codebooks are fitted on a bounded sample of distinct vectors.
 2. Every vector is assigned to its nearest centroid's list and its residual coded, one byte for
    each group of components.  Of equal vectors only as many as an answer can hold are indexed.
-3. A query visits its nearest lists.  Lists are dealt in blocks, queries of a list too, so that no
+3. A query visits its nearest lists, as many as a trial asks for: the true neighbours of a bounded
+   number of queries are found by one exact pass over all vectors, and the lists that hold them are
+   ranked by distance from the query; the least number of probes, ``probes`` at least, under which
+   ``RECALL`` of these neighbours lie is used for every query.  Lists are dealt in blocks, queries of a list too, so that no
    task meets an unbounded group.  In a block, distance tables of the query's residual rank the
    codes (asymmetric distances); the best are measured exactly on the original vectors.
 4. The best of all blocks are merged per query, ties to the smaller id.
@@ -29,6 +32,7 @@ from .shared import materialize
 SAMPLE_ROWS = 16_384
 LISTS = 1024
 BLOCK_VECTORS, BLOCK_QUERIES = 4096, 4096
+TRIAL_QUERIES, RECALL = 256, 0.95
 
 
 def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -90,12 +94,42 @@ def _matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def needed_probes(indexed: DataFrame, trial: np.ndarray, own: np.ndarray, quantiser, k: int, least: int, recall: float) -> int:
+    """The lists to visit so that ``recall`` of the true ``k`` nearest of the trial queries lie in them.
+
+    Every batch of vectors keeps its best ``k`` per query, so what is sent on does not grow with the rows of a batch.
+    """
+    asked = indexed.sparkSession.sparkContext.broadcast((trial, own))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, ids = asked.value
+        best = np.full((len(x), 0), 0.0), np.full((len(x), 0), 0, np.int64), np.full((len(x), 0), 0, np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            found, at = batch.column("id").to_numpy(), batch.column("list").to_numpy().astype(np.int64)
+            d = np.where(found[None, :] == ids[:, None], np.inf, _squared(x, _matrix(batch.column("v"))))
+            d, found, at = (np.hstack([a, np.broadcast_to(b, d.shape)]) for a, b in zip(best, (d, found, at)))
+            few = np.lexsort((found, d))[:, :k] if d.shape[1] > k else np.broadcast_to(np.arange(d.shape[1]), d.shape)
+            best = tuple(np.take_along_axis(a, few, 1) for a in (d, found, at))
+        q = np.repeat(np.arange(len(x)), best[0].shape[1])
+        fine = np.isfinite(best[0].ravel())
+        yield pa.record_batch([pa.array(c.ravel()[fine]) for c in (q, *best)], ["q", "d", "id", "list"])
+
+    found = indexed.select("id", "v", "list").mapInArrow(run, "q long, d double, id long, list long")
+    order = Window.partitionBy("q").orderBy("d", "id")
+    true = found.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k).select("q", "list").collect()  # at most k a trial query
+    rank = np.argsort(np.argsort(_squared(trial, quantiser.centroids), axis=1, kind="stable"), axis=1, kind="stable")
+    places = np.sort([rank[r.q, r.list] for r in true])
+    return max(least, int(places[int(np.ceil(recall * len(places))) - 1]) + 1) if len(places) else least
+
+
 def usable(vector: Column) -> Column:
     whole = F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     return vector.isNotNull() & whole & F.exists(vector, lambda v: v != 0)
 
 
-def nearest(vectors: DataFrame, is_query: Column, *, key: str = "vec_id", vector: str = "embedding", k: int = 10, probes: int = 48, shortlist: int = 64, sample_rows: int = SAMPLE_ROWS, lists: int = LISTS, block_vectors: int = BLOCK_VECTORS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, *, key: str = "vec_id", vector: str = "embedding", k: int = 10, probes: int = 48, shortlist: int = 64, sample_rows: int = SAMPLE_ROWS, lists: int = LISTS, block_vectors: int = BLOCK_VECTORS, block_queries: int = BLOCK_QUERIES, trial_queries: int = TRIAL_QUERIES, recall: float = RECALL) -> DataFrame:
     """``query_id, rank, vec_id, score`` (Euclidean distance) of the ``k`` nearest found for each query row."""
     plain = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("q")).filter(F.col("id").isNotNull() & usable(F.col("v")))
     sample = plain.select("v", F.xxhash64("id").alias("h"), "id").orderBy("h", "id").limit(sample_rows).collect()
@@ -125,6 +159,10 @@ def nearest(vectors: DataFrame, is_query: Column, *, key: str = "vec_id", vector
                 yield pa.record_batch([batch.column("id"), batch.column("v"), pa.array(found.astype(np.int32).tolist(), pa.list_(pa.int32()))], ["id", "v", "lists"])
 
     indexed = materialize(kept.select("id", "v").mapInArrow(code, "id long, v array<double>, list int, codes binary"), "ann-index")
+    trial = plain.filter("q").select("id", "v").distinct().orderBy(F.xxhash64("id", F.lit(5)), "id", "v").limit(trial_queries).collect()
+    if trial and len(quantiser.value.centroids) > probes:
+        x, own = np.array([r.v for r in trial]), np.array([r.id for r in trial], np.int64)
+        probes = needed_probes(indexed, x, own, quantiser.value, k, probes, recall)
     asked = plain.filter("q").select("id", "v").distinct().mapInArrow(probe, "id long, v array<double>, lists array<int>")
     asked = materialize(asked.select("id", "v", F.explode("lists").alias("list")), "ann-queries")
     blocks = indexed.groupBy("list").agg(F.ceil(F.count("*") / block_vectors).cast("int").alias("blocks")).join(asked.groupBy("list").agg(F.ceil(F.count("*") / block_queries).cast("int").alias("parts")), "list")

@@ -68,3 +68,12 @@ def test_edge_rows(spark):
     got = sorted(((r.doc_id, r.item_id, r.start_word, r.end_word) for r in find_leaks(docs, items).collect()), key=str)
     assert got == sorted([(None, 1, 0, 6), (3, 1, 0, 6), (4, 1, 60000, 60006)], key=str)
     assert find_leaks(docs.limit(0), items).collect() == [] and find_leaks(docs, items.limit(0)).collect() == []
+
+
+def test_hot_edited_copy_keeps_seeds(spark):
+    """An edited copy in 200 documents and one exact copy: all leak, though every n-gram of the edited one is hot."""
+    item = [f"w{i}" for i in range(40)]
+    edited = [("edit" if i in (6, 13, 20, 27, 34) else w) for i, w in enumerate(item)]
+    docs = [(d, " ".join([f"a{d}", f"b{d}", *edited, f"c{d}"])) for d in range(200)] + [(200, " ".join(item)), (201, "nothing of it")]
+    got = find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert {r.doc_id: r.similarity for r in got} == {d: 0.75 for d in range(200)} | {200: 1.0} and len(got) == 201

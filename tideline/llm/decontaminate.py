@@ -2,9 +2,11 @@
 
 1. One pass over the corpus finds every occurrence of a benchmark n-gram (blocks of benchmark
    n-grams of bounded size are broadcast, one pass each) and keeps the words around it.
-2. An item's seeds are its n-grams that are not far more frequent in the corpus than its median
-   one; they join passages to items.  The measure is relative, so an item that leaked into a third
-   of all documents keeps its seeds.
+2. Seeds join passages to items.  They are an item's n-grams that are not far more frequent in the
+   corpus than its median one, and besides, in every passage, those of each unbroken run of known
+   n-grams that are not far more frequent than the run's rarest.  So an item that leaked into a third
+   of all documents keeps its seeds, and a passage that holds nothing but hot ones has seeds too.
+   Only an item whose n-grams in a run are all far more frequent than both is not compared.
 3. Each candidate passage is aligned with its items (match +1, mismatch and gap -1); the similarity
    is the best local score over the item's words.
 
@@ -19,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import ragged
@@ -89,7 +91,7 @@ def item_grams(items: DataFrame, item_key: str, text: str, n: int) -> DataFrame:
 
 
 def _passages(rows: DataFrame, key: str, text: str, known: np.ndarray, n: int, reach: int) -> DataFrame:
-    """Runs of words around occurrences of ``known`` n-grams: ``doc, start, words, grams``; overlapping runs are one."""
+    """Runs of words around occurrences of ``known`` n-grams: ``doc, start, words, runs``; what overlaps is one passage, ``runs`` its n-grams by unbroken run."""
     shared = rows.sparkSession.sparkContext.broadcast(known)  # at most BLOCK_GRAMS hashes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,10 +117,10 @@ def _passages(rows: DataFrame, key: str, text: str, known: np.ndarray, n: int, r
                 docs.append(int(d))
                 starts.append(low)
                 words.append(hashes[first[d] + low : first[d] + high].tobytes())
-                own.append(np.unique(grams[hit[a:b]]).view(np.int64).tolist())
-            yield pa.record_batch([part.column(key).take(pa.array(docs)), pa.array(starts), pa.array(words, pa.binary()), pa.array(own, pa.list_(pa.int64()))], ["doc", "start", "words", "grams"])
+                own.append([np.unique(g).view(np.int64).tolist() for g in np.split(grams[hit[a:b]], np.flatnonzero(np.diff(word[a:b]) > 1) + 1)])
+            yield pa.record_batch([part.column(key).take(pa.array(docs)), pa.array(starts), pa.array(words, pa.binary()), pa.array(own, pa.list_(pa.list_(pa.int64())))], ["doc", "start", "words", "runs"])
 
-    return rows.mapInArrow(run, "doc long, start long, words binary, grams array<long>")
+    return rows.mapInArrow(run, "doc long, start long, words binary, runs array<array<long>>")
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", item_key: str = "item_id", text: str = "text", n: int = GRAM, similarity: float = SIMILARITY, common: float = 20.0, block_grams: int = BLOCK_GRAMS) -> DataFrame:
@@ -137,12 +139,15 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", item_k
         found = one if found is None else found.unionByName(one)
     passages = materialize(found.withColumn("passage", F.monotonically_increasing_id()), "leak-passages")
 
-    hits = passages.select("passage", F.explode("grams").alias("gram"))
-    frequency = hits.groupBy("gram").agg(F.count("*").alias("df"))
+    hits = passages.select("passage", F.posexplode("runs").alias("run", "grams")).select("passage", "run", F.explode("grams").alias("gram"))
+    frequency = materialize(hits.select("passage", "gram").distinct().groupBy("gram").agg(F.count("*").alias("df")), "leak-grams")
     rated = listed.join(frequency, "gram")
     usual = rated.groupBy("item").agg(F.percentile("df", F.lit(0.5)).alias("usual"))
     seeds = rated.join(usual, "item").filter(F.col("df") <= common * F.col("usual")).select("item", "gram")
-    pairs = materialize(hits.join(seeds, "gram").select("passage", "item").distinct(), "leak-pairs")
+    run_of = Window.partitionBy("passage", "run")  # a run is part of one text
+    rarest = hits.join(frequency, "gram").withColumn("least", F.min("df").over(run_of)).filter(F.col("df") <= common * F.col("least"))
+    joined = hits.join(seeds, "gram").select("passage", "item").union(rarest.join(listed, "gram").select("passage", "item"))
+    pairs = materialize(joined.distinct(), "leak-pairs")
     passage, item = passages.select("passage", "doc", "start", "words"), known.select("item", F.col("words").alias("own")).distinct()
     candidates = pairs.join(passage, "passage").join(item, "item").select("doc", "start", "words", "item", "own")
 

@@ -81,24 +81,35 @@ def document_frequencies(shards: DataFrame) -> tuple[np.ndarray, int, int]:
 class ShardIndex:
     """BM25 inverted index of the documents of one shard; ``nearest`` ranks the unused ones."""
 
-    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float, query_terms: int = 24):
+    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
         terms, counts = zip(*(np.unique(d, return_counts=True) for d in docs))
-        size = np.array([len(t) for t in terms])
-        doc, term, tf = np.repeat(np.arange(len(docs)), size), np.concatenate(terms), np.concatenate(counts).astype(np.float64)
-        length = np.array([len(d) for d in docs])[doc]
-        score = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
+        size = np.fromiter(map(len, terms), np.int64, len(docs))
+        doc, term, tf = np.repeat(np.arange(len(docs), dtype=np.int32), size), np.concatenate(terms), np.concatenate(counts).astype(np.float32)
+        length = (K1 * (1 - B + B * np.fromiter(map(len, docs), np.float32, len(docs)) / mean)).astype(np.float32)
+        score = idf[term] * tf * np.float32(K1 + 1) / (tf + length[doc])
         order = np.argsort(term, kind="stable")
-        self.doc, self.score, sorted_term = doc[order], score[order], term[order]
-        self.names, self.at = np.unique(sorted_term, return_index=True)
-        self.at = np.append(self.at, len(sorted_term))
-        edge = np.cumsum(size)
-        self.query = [np.searchsorted(self.names, t[np.argsort(-idf[t] * np.minimum(c, 4), kind="stable")[:query_terms]]) for t, c in zip(terms, np.split(tf, edge[:-1]))]
+        self.doc, self.score = doc[order], score[order]
+        names, at = np.unique(term[order], return_index=True)
+        self.at = np.append(at, len(order))
+        self.edge = np.concatenate([[0], np.cumsum(size)])
+        self.query = np.searchsorted(names, term).astype(np.int32)  # the places of every document's terms, document by document
         self.n = len(docs)
+        df = np.diff(self.at)
+        common = np.flatnonzero(df * 4 > self.n)  # their rows take at most 16 bytes a posting
+        self.row = np.full(len(df), -1, np.int32)
+        self.row[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), self.n), np.float32)
+        for r, c in enumerate(common.tolist()):
+            own = slice(self.at[c], self.at[c + 1])
+            self.dense[r, self.doc[own]] = self.score[own]
 
     def scores(self, seed: int) -> np.ndarray:
-        q = self.query[seed]
+        q = self.query[self.edge[seed] : self.edge[seed + 1]]
+        row = self.row[q]
+        total = self.dense[row[row >= 0]].sum(0, dtype=np.float64)
+        q = q[row < 0]
         at = ragged.spread(self.at[q], self.at[q + 1] - self.at[q])
-        return np.bincount(self.doc[at], self.score[at], self.n)
+        return total + np.bincount(self.doc[at], self.score[at], self.n)
 
 
 def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int = WINDOW) -> Iterator[tuple[int, int, int, int, int]]:
@@ -150,7 +161,7 @@ def pack(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "t
     """``key, start, length, ids_crc32, doc_tokens, sequence_id, offset`` of every piece."""
     shards = materialize(token_shards(docs, tokenizer, key, text, end_id, shard_tokens), "packing-ids")
     df, n, tokens = document_frequencies(shards)
-    idf = docs.sparkSession.sparkContext.broadcast(np.log(1 + (n - df + 0.5) / (df + 0.5)))  # the vocabulary's size
+    idf = docs.sparkSession.sparkContext.broadcast(np.log(1 + (n - df + 0.5) / (df + 0.5)).astype(np.float32))  # the vocabulary's size
     mean = max(1.0, tokens / max(n, 1))
 
     def close(shard: int, keys: list, held: list[np.ndarray]) -> pa.RecordBatch:

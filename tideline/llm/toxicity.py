@@ -22,11 +22,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import ragged
-from .shared import crc_mod, texts
+from .shared import crc_mod, materialize
 
 SAMPLE_ROWS = 20_000  # labelled rows that the model is fitted on, at most
 TERMS = 4096
@@ -180,7 +181,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, *, key: str, text: str,
     known = labels.select(F.col(key).cast("long").alias("_id"), F.col(label).cast("int").alias("_label")).filter("_id is not null and _label in (0, 1)").filter(crc_mod("_id", folds) != held)
     picked = known.orderBy(F.xxhash64("_id"), "_id", "_label").limit(sample_rows)
     rows = docs.select(F.col(key).cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    return rows.join(F.broadcast(picked), "_id").select("_id", "_label", "_text")
+    sample = materialize(rows.join(F.broadcast(picked), "_id").select("_id", "_label", "_text"), "toxicity-sample")
+    place = F.xxhash64("_id", "_text")
+    if sample.count() > sample_rows:  # documents share keys: the rows of the least hashes stay
+        last = sample.select(place.alias("h")).orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0]
+        sample = materialize(sample.filter(place <= last).dropDuplicates(), "toxicity-sample")
+    return sample
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 4, held: int = 2, sample_rows: int = SAMPLE_ROWS, max_terms: int = TERMS) -> ToxicityModel:
@@ -228,7 +234,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
             rows = [(term[a:b][keep[a:b]].astype(np.int32).tobytes(), np.minimum(n[a:b][keep[a:b]], 255).astype(np.uint8).tobytes()) for a, b in zip(edge[:-1], edge[1:])]
             yield pa.record_batch([pa.array([v.astype(np.uint8).tobytes() for v in votes], pa.binary()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (0, 1))], ["votes", "terms", "counts"])
 
-    rows = sample.mapInArrow(vote, "votes binary, terms binary, counts binary").limit(2 * sample_rows).collect()
+    rows = sample.mapInArrow(vote, "votes binary, terms binary, counts binary").collect()  # at most sample_rows
     votes = np.array([np.frombuffer(r.votes, np.uint8) for r in rows]).astype(np.int64)
     distinct, back, n = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
     model = LabelModel(voters).fit(distinct, n.astype(float), np.where(distinct[:, -1] == 1, 0.95, 0.02))
@@ -236,17 +242,27 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     return ToxicityModel(Classifier.train(terms, [(np.frombuffer(r.terms, np.int32), np.frombuffer(r.counts, np.uint8)) for r in rows], target), model)
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 4, held: int = 2, threshold: float = 0.3, sample_rows: int = SAMPLE_ROWS, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``key, held_out, score, predicted`` of every row, and the columns named in ``keep``."""
-    model = fit(docs, labels, key=key, text=text, label=label, folds=folds, held=held, sample_rows=sample_rows)
-    shared = docs.sparkSession.sparkContext.broadcast(model.classifier)
-    rows = docs.select(key, *keep) if text in keep else docs.select(key, text, *keep)
-    names = [key, *keep]
+def _scored(docs: DataFrame, model: ToxicityModel, rest: Column, text: str) -> DataFrame:
+    """``rest, score`` of every row."""
+    shared = docs.sparkSession.sparkContext.broadcast(model.classifier)  # bounded by max_terms
+    rows = docs.select(rest.alias("rest"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, buf, offs in ragged.slices(batches, text):
-            yield pa.record_batch([*(part.column(c) for c in names), pa.array(shared.value.score(buf, offs))], [*names, "score"])
+        for part, buf, offs in ragged.slices(batches, "text"):
+            yield pa.record_batch([part.column("rest"), pa.array(shared.value.score(buf, offs))], ["rest", "score"])
+
+    return rows.mapInArrow(run, StructType([rows.schema["rest"], StructField("score", DoubleType())]))
 
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*names).schema)
-    scored = rows.mapInArrow(run, f"{columns}, score double")
-    return scored.select(key, (crc_mod(key, folds) == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *keep)
+
+def toxicity_scores(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 4, held: int = 2, threshold: float = 0.3, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """``key, held_out, score, predicted`` of every row."""
+    model = fit(docs, labels, key=key, text=text, label=label, folds=folds, held=held, sample_rows=sample_rows)
+    scored = _scored(docs, model, F.col(key), text)
+    return scored.select(F.col("rest").alias(key), (crc_mod("rest", folds) == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def clean_documents(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 4, held: int = 2, threshold: float = 0.3, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score is under ``threshold``."""
+    model = fit(docs, labels, key=key, text=text, label=label, folds=folds, held=held, sample_rows=sample_rows)
+    scored = _scored(docs, model, F.struct(*(F.col(f"`{c}`") for c in docs.columns)), text)
+    return scored.filter(F.col("score") < threshold).select("rest.*")

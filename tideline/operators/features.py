@@ -1,14 +1,17 @@
-"""Per-slot features: distribution statistics natively, spectra and sample entropy by numpy per group.
+"""Per-slot features: distribution statistics natively, spectra and sample entropy by numpy over batches of slots.
 
-A slot is a second of a recording, some ten samples; the numpy step holds one slot at a time.
+A slot is a second of a recording, some ten samples.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .timeline import order
 
@@ -76,13 +79,23 @@ def sample_entropy(x: np.ndarray, m: int = 2, r: float = 0.2) -> float:
     return float(-np.log(a / b)) if a and b else 0.0
 
 
-def spectra(df: DataFrame, value: str, *, slot: list[str], ts: str, tie: str, rate: float) -> DataFrame:
-    """Spectral features and sample entropy of each slot."""
-    types = {f.name: f.dataType.simpleString() for f in df.schema}
-    schema = ", ".join(f"`{s}` {types[s]}" for s in slot) + ", entropy double, frequency double, power_low double, power_mid double, power_high double, sample_entropy double"
+def spectra(df: DataFrame, value: str, *, slot: list[str], ts: str, tie: str, rate: float, waves: bool = True, sample: bool = True) -> DataFrame:
+    """Spectral features (``waves``) and sample entropy (``sample``) of each slot.
+
+    Slots are gathered in the shuffle as arrays in order of time, and many of them go to numpy in one batch.
+    """
+    names = [*(["entropy", "frequency", "power_low", "power_mid", "power_high"] if waves else []), *(["sample_entropy"] if sample else [])]
+    gathered = df.groupBy(*slot).agg(F.sort_array(F.collect_list(F.struct(F.col(ts).alias("t"), F.col(tie).alias("i"), F.col(value).cast("double").alias("x")))).alias("_rows"))
+    series = gathered.select(*slot, F.filter(F.col("_rows.x"), lambda x: x.isNotNull() & ~F.isnan(x)).alias("_x"))
+    schema = StructType([*(series.schema[s] for s in slot), *(StructField(n, DoubleType()) for n in names)])
 
-    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        x = rows.sort_values([ts, tie])[value].dropna().to_numpy(float)
-        return pd.DataFrame([[*key, *spectrum(x, rate), sample_entropy(x)]])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("_x")
+            flat, edge = column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]).astype(int)
+            out = np.zeros((batch.num_rows, len(names)))
+            for k, (a, b) in enumerate(zip(edge[:-1], edge[1:])):
+                out[k] = [*(spectrum(flat[a:b], rate) if waves else ()), *([sample_entropy(flat[a:b])] if sample else ())]
+            yield pa.record_batch([*(batch.column(s) for s in slot), *(pa.array(out[:, j]) for j in range(len(names)))], [*slot, *names])
 
-    return df.select(*slot, ts, tie, value).groupBy(*slot).applyInPandas(one, schema)
+    return series.mapInArrow(run, schema)

@@ -7,6 +7,8 @@ rows are kept between passes; without it Spark recomputes them.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,8 +22,9 @@ AXES = ("X", "Y", "Z")
 def _kept(df: DataFrame, scratch: str | None, name: str) -> DataFrame:
     if not scratch:
         return df
-    df.write.mode("overwrite").parquet(f"{scratch}/{name}")
-    return df.sparkSession.read.schema(df.schema).parquet(f"{scratch}/{name}")
+    path = f"{scratch}/{name}-{uuid.uuid4().hex}"  # jobs may share the folder
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _stepped(df: DataFrame, angles: list[str], *, key: str, ts: str, tie: str) -> DataFrame:
@@ -32,8 +35,8 @@ def _stepped(df: DataFrame, angles: list[str], *, key: str, ts: str, tie: str) -
     return rows.select("*", *steps, bad.alias("bad"))
 
 
-def _spectra(df: DataFrame, value: str, *, slot: list[str], ts: str, tie: str) -> DataFrame:
-    return features.spectra(df, value, slot=slot, ts=ts, tie=tie, rate=10.0)
+def _spectra(df: DataFrame, value: str, *, slot: list[str], ts: str, tie: str, sample: bool = True) -> DataFrame:
+    return features.spectra(df, value, slot=slot, ts=ts, tie=tie, rate=10.0, sample=sample)
 
 
 def imu_samples(df: DataFrame, *, key: str = "source", ts: str = "ts", tie: str = "row_no", by: str | None = None, scratch: str | None = None) -> DataFrame:
@@ -121,7 +124,7 @@ def angle_seconds(samples: DataFrame, *, key: str = "source", ts: str = "ts", ti
     base = base.withColumns({"Angle_Range": F.col("Angle_Max") - F.col("Angle_Min"), "Axis_Dominance": dominant_axis(*(F.col(f"d{n}_Std") for n in AXES))})
     for value, tag in (("dZ", "dz"), ("gyro", "GMag")):
         named = rows.filter(F.col(value).isNotNull())
-        wave = _spectra(named, value, slot=slot, ts=ts, tie=tie).select(*slot, F.col("entropy").alias(f"Spectral_Entropy_{tag}"), F.col("frequency").alias(f"Dominant_Frequency_{tag}"))
+        wave = _spectra(named, value, slot=slot, ts=ts, tie=tie, sample=False).select(*slot, F.col("entropy").alias(f"Spectral_Entropy_{tag}"), F.col("frequency").alias(f"Dominant_Frequency_{tag}"))
         shape = features.distribution(named, value, slot=slot, ts=ts, tie=tie).select(*slot, F.col("crossings").alias(f"Zero_Crossing_Rate_{tag}"), F.col("peaks").alias(f"Peak_Count_{tag}"))
         base = base.join(wave, slot, "left").join(shape, slot, "left")
     spread = features.distribution(rows.filter(valid), "angle", slot=slot, ts=ts, tie=tie)

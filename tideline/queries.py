@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import second_tables
 from .functions import times, vectors
 from .operators import anomaly, beats, features, quality, timeline
 from .plans import movement
@@ -193,7 +194,7 @@ q AS (SELECT *, k * 10.0 / n AS freq, max(w) OVER (PARTITION BY user_id) AS top
 d AS (SELECT user_id, min(freq) FILTER (w >= top * (1 - 1e-9)) AS frequency, coalesce(sum(w) FILTER (freq < 1), 0) / sum(w) AS a, coalesce(sum(w) FILTER (freq >= 1 AND freq < 4), 0) / sum(w) AS b, coalesce(sum(w) FILTER (freq >= 4), 0) / sum(w) AS c FROM q GROUP BY 1)
 SELECT u.user_id, round(coalesce(entropy, 0), 5) AS entropy, round(coalesce(frequency, 0), 6) AS frequency, round(coalesce(a, 0), 5) AS power_low, round(coalesce(b, 0), 5) AS power_mid, round(coalesce(c, 0), 5) AS power_high FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN e USING (user_id) LEFT JOIN d USING (user_id)""")
 def slot_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = features.spectra(events(spark, sf_dir), "value", slot=["user_id"], ts="ts", tie="event_id", rate=10.0)
+    out = features.spectra(events(spark, sf_dir), "value", slot=["user_id"], ts="ts", tie="event_id", rate=10.0, sample=False)
     return out.select("user_id", *(F.round(c, 6 if c == "frequency" else 5).alias(c) for c in ("entropy", "frequency", "power_low", "power_mid", "power_high")))
 
 
@@ -201,7 +202,7 @@ def slot_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
 m AS (SELECT a.user_id, count(*) FILTER (a.i <= a.n - 1 AND b.i <= a.n - 1 AND greatest(abs(a.x - b.x), abs(a.x1 - b.x1)) < a.r) AS bb, count(*) FILTER (a.i <= a.n - 2 AND b.i <= a.n - 2 AND greatest(abs(a.x - b.x), abs(a.x1 - b.x1), abs(a.x2 - b.x2)) < a.r) AS aa FROM p a JOIN p b ON a.user_id = b.user_id AND a.i < b.i WHERE a.n >= 4 AND a.r > 0 GROUP BY 1)
 SELECT u.user_id, round(CASE WHEN aa > 0 AND bb > 0 THEN -ln(aa / bb) ELSE 0 END, 6) AS sample_entropy FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN m USING (user_id)""")
 def slot_sample_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = features.spectra(events(spark, sf_dir), "value", slot=["user_id"], ts="ts", tie="event_id", rate=10.0)
+    out = features.spectra(events(spark, sf_dir), "value", slot=["user_id"], ts="ts", tie="event_id", rate=10.0, waves=False)
     return out.select("user_id", r6("sample_entropy").alias("sample_entropy"))
 
 
@@ -267,3 +268,7 @@ def resampled_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def labelled_beats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir)
     return beats.label_beats(rows, key="event_type", ts="ts", value="value", clean=False, fs=16.0, size=480, hop=160)
+
+
+register(second_tables.IMU_SQL)(second_tables.imu_second_features)
+register(second_tables.ANGLE_SQL)(second_tables.angle_second_features)

@@ -59,14 +59,16 @@ def document_frequencies(shards: DataFrame) -> tuple[np.ndarray, int, int]:
     """Documents that hold each token id, documents, and tokens: one small row per task and id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, docs, tokens = np.zeros(1, np.int64), 0, 0
+        df, last, docs, tokens = np.zeros(1, np.int64), np.zeros(1, np.int32), 0, 0
         for batch in batches:
             for raw in batch.column("ids"):
-                ids = np.unique(np.frombuffer(raw.as_buffer(), "<u4"))
-                docs, tokens = docs + 1, tokens + len(raw.as_buffer()) // 4
-                if len(ids) and ids[-1] >= len(df):
-                    df = np.concatenate([df, np.zeros(int(ids[-1]) + 1 - len(df), np.int64)])
-                df[ids] += 1
+                ids = np.frombuffer(raw.as_buffer(), "<u4")
+                docs, tokens = docs + 1, tokens + len(ids)
+                if len(ids) and ids.max() >= len(df):
+                    df, last = (np.concatenate([x, np.zeros(int(ids.max()) + 1 - len(df), x.dtype)]) for x in (df, last))
+                at = np.arange(len(ids), dtype=np.int32)
+                last[ids] = at  # of equal ids one place stays
+                df[ids[last[ids] == at]] += 1
         some = np.flatnonzero(df)
         yield pa.record_batch([pa.array(np.concatenate([some, [-1, -2]])), pa.array(np.concatenate([df[some], [docs, tokens]]))], ["id", "n"])
 
@@ -106,7 +108,9 @@ class ShardIndex:
     def scores(self, seed: int) -> np.ndarray:
         q = self.query[self.edge[seed] : self.edge[seed + 1]]
         row = self.row[q]
-        total = self.dense[row[row >= 0]].sum(0, dtype=np.float64)
+        held = np.zeros(len(self.dense), np.float32)
+        held[row[row >= 0]] = 1
+        total = held @ self.dense
         q = q[row < 0]
         at = ragged.spread(self.at[q], self.at[q + 1] - self.at[q])
         return total + np.bincount(self.doc[at], self.score[at], self.n)

@@ -66,12 +66,33 @@ def test_base_and_held_out(spark):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(ws), sum(c[w] > 0 for w in ws), n)
         assert math.isclose(r.base_score, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), rel_tol=1e-9)
     out = [got[i] for i in tokens if held[i]]
-    assert sum(r.score for r in out) > sum(r.base_score for r in out)
+    assert sum(r.mixed_score for r in out) > sum(r.base_score for r in out)
+    assert sum(r.mixed_score for r in out) > sum(r.tuned_score for r in out) > sum(r.score for r in out)
     assert all(r.score < 0 for r in got.values())
 
 
+@pytest.mark.parametrize("head", [1, 50_000])
+def test_score_is_the_marginal_of_the_vocabularys_own_weights(spark, head):
+    m = toy()
+    rows = [(i, t) for i, t in enumerate(["ab aba", "Bab é ab", "", None, "aéb ab ab", "abab", "a\tb", "zz ab", "ab"])] + [(4, "b")]
+    ends = sum(zlib.crc32(str(i).encode()) % 7 != 2 for i, _ in rows)
+    n = sum(len((t or "").split()) + 1 for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2)
+    p_end = (ends + 1) / (n + 2)
+
+    def text_prob(t):
+        return math.log10(p_end) + sum(math.log10(brute(m, w) * (1 - p_end)) for w in (t or "").lower().split())
+
+    got = lattice_scores(spark.createDataFrame(rows, "doc_id long, text string"), m, head=head).collect()
+    key = lambda x: (x[0], x[1])
+    want = sorted(((i, text_prob(t)) for i, t in rows), key=key)
+    for (i, p), r in zip(want, sorted(got, key=lambda r: (r.doc_id, r.score)), strict=True):
+        assert r.doc_id == i and math.isclose(r.score, p, rel_tol=1e-9)
+
+
 def test_edge_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert lattice_scores(empty, VOCABULARY).collect() == []
-    rows = spark.createDataFrame([(None, "a b"), (5, "a"), (5, "a")], "doc_id long, text string")
-    assert {(r.doc_id, r.n_tokens) for r in lattice_scores(rows, VOCABULARY).collect()} == {(None, 3), (5, 4)}
+    low = -(2**63)
+    rows = spark.createDataFrame([(None, "a b", 1, 2), (5, "a", 1, 2), (5, "a", 1, 2), (low, None, 1, 2)], "doc_id long, text string, number long, train long")
+    got = sorted((r.doc_id or 0, r.n_tokens) for r in lattice_scores(rows, VOCABULARY).collect())
+    assert got == [(low, 1), (0, 3), (5, 2), (5, 2)]

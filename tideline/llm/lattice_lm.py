@@ -1,19 +1,23 @@
 """Language-model scores: marginal probability of every word over all its subword segmentations.
 
-The vocabulary is an existing one; its own scores weight the pieces at first, and expected counts
-over the distinct training words (forward-backward, weighted by word counts) refine them.  A word
-is a piece that opens it and further pieces until a stop; log-space forward recursion sums over all
-segmentations.  A word seen in training has, besides, an edge of its own over its whole length with
-its discounted relative frequency; the mass taken off pays for the lattice.  A text is its words
-and one end.  As words are independent, every distinct word of the corpus is scored once.
-
-Cases: a null text counts as empty (one token, the end); rows that share a key are scored as one
-document of all their words, with an end each; a null key is a key; no rows give none; with no
-training rows the vocabulary's own weights score and nothing is known; other columns are ignored.
+The vocabulary is an existing one and its own scores weight the pieces.  A word is a piece that
+opens it and further pieces until a stop; log-space forward recursion sums over all segmentations.
+A text is its words and one end, whose share is learned.  As words are independent, every distinct
+word of the corpus is scored once.  ``score`` is this probability.
+
+Two further columns learn more from the training rows: ``tuned_score`` weights the pieces by expected
+counts over the distinct training words (forward-backward, weighted by word counts), starting from the
+vocabulary's scores; ``mixed_score`` gives, besides, every word seen in training an edge over its whole
+length with its discounted relative frequency, the mass taken off paying for the lattice.
+
+Cases: a null text counts as empty (one token, the end); every row is scored, also those that share a
+key; a null key is a key; no rows give none; with no training rows the vocabulary's own weights score
+and nothing is known; other columns are ignored whatever their names.
 """
 
 from __future__ import annotations
 
+import copy
 import math
 from collections.abc import Iterator
 
@@ -23,12 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ragged
-from .shared import crc_mod, materialize, texts
+from .shared import crc_mod, materialize
 
 MARK = "▁"  # opens a word in sentencepiece vocabularies
 END = "\n"  # stands for a text's end in the word table; no word holds white space
 _HASH = 0x9E3779B97F4A7C15
-_NULL_KEY = np.iinfo(np.int64).min
+HEAD_WORDS = 50_000
 
 
 class Lattice:
@@ -245,25 +249,28 @@ def _steps(value: np.ndarray, start: np.ndarray, end: np.ndarray, weight: np.nda
 
 
 def _postings(rows: DataFrame, key: str, text: str, limit: int = 8 << 20) -> DataFrame:
-    """``word, docs, tfs, train``: per slice of the corpus, each distinct word with its documents; the end is a word."""
+    """``word, docs, tfs, keys, train``: per slice of the corpus, each distinct word with the numbers of its rows; the end is a word, and has their keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, buf, offs in ragged.slices(batches, text, limit):
-            keys = part.column(key).fill_null(_NULL_KEY).to_numpy(zero_copy_only=False)
+            keys = part.column(key)
+            numbers = part.column("number").to_numpy(zero_copy_only=False)
             train = part.column("train").to_numpy(zero_copy_only=False).astype(np.int64)
             low, starts, ends, per_text = ragged.words(buf, offs)
             codes, found = ragged.distinct(low, starts, ends, pa.large_string())
-            n = len(keys)
+            n = len(numbers)
             pair, tf = np.unique(codes.astype(np.int64) * n + np.repeat(np.arange(n), per_text), return_counts=True)
             code, doc = pair // n, pair % n
             begin = np.flatnonzero(np.append(True, code[1:] != code[:-1])[: len(code)])
             learned = np.add.reduceat(tf * train[doc], begin) if len(begin) else begin
             edge = np.concatenate([begin, [len(code), len(code) + n]]).astype(np.int32)
             word = pa.concat_arrays([found.take(pa.array(code[begin])).cast(pa.string()), pa.array([END])])
-            docs, tfs = np.concatenate([keys[doc], keys]), np.concatenate([tf, np.ones(n, np.int64)]).astype(np.int32)
-            yield pa.record_batch([word, *(pa.ListArray.from_arrays(pa.array(edge), pa.array(x)) for x in (docs, tfs)), pa.array(np.append(learned, train.sum()))], ["word", "docs", "tfs", "train"])
+            docs, tfs = np.concatenate([numbers[doc], numbers]), np.concatenate([tf, np.ones(n, np.int64)]).astype(np.int32)
+            only = pa.array(np.append(np.zeros(len(word), np.int32), n).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(pa.array(edge), pa.array(x)) for x in (docs, tfs)]
+            yield pa.record_batch([word, *lists, pa.ListArray.from_arrays(only, keys), pa.array(np.append(learned, train.sum()))], ["word", "docs", "tfs", "keys", "train"])
 
-    return rows.mapInArrow(run, "word string, docs array<long>, tfs array<int>, train long")
+    return rows.mapInArrow(run, "word string, docs array<long>, tfs array<int>, keys array<long>, train long")
 
 
 def _learn(lattice: Lattice, counted: DataFrame, rounds: int) -> None:
@@ -290,21 +297,25 @@ def _learn(lattice: Lattice, counted: DataFrame, rounds: int) -> None:
         lattice.reweigh(counts, sums.get(-1, 0.0), sums.get(-2, 0.0))
 
 
-def lattice_scores(docs: DataFrame, vocabulary: str, *, key: str = "doc_id", text: str = "text", folds: int = 7, held: int = 2, rounds: int = 2) -> DataFrame:
+def lattice_scores(docs: DataFrame, vocabulary: str | Lattice, *, key: str = "doc_id", text: str = "text", folds: int = 7, held: int = 2, rounds: int = 2, head: int = HEAD_WORDS) -> DataFrame:
     """Score all texts with a model of those whose key's checksum modulo ``folds`` is not ``held``.
 
-    Columns: ``key, held_out, n_tokens, n_known, train_tokens, base_score, score`` (log10).
+    Columns: ``key, held_out, n_tokens, n_known, train_tokens, base_score, score, tuned_score, mixed_score`` (log10).
+    ``vocabulary`` is a sentencepiece file or a ``Lattice``.  Words in over 1 / ``head`` of all postings
+    are joined by broadcast, ``head`` words at most, so no word's postings meet in one task.
     """
-    rows = texts(docs.withColumn(key, F.col(key).cast("long")).withColumn("__train", crc_mod(key, folds) != held), key, "__train", text=text)
-    postings = materialize(_postings(rows.withColumnRenamed("__train", "train"), key, text), "lm-postings")
-    counted = materialize(postings.groupBy("word").agg(F.sum("train").alias("c")), "lm-words")
+    rows = docs.select(F.col(key).cast("long").alias(key), F.coalesce(F.col(text), F.lit("")).alias(text))
+    rows = rows.withColumns({"train": crc_mod(key, folds) != held, "number": F.monotonically_increasing_id()})
+    postings = materialize(_postings(rows, key, text), "lm-postings")
+    counted = materialize(postings.groupBy("word").agg(F.sum("train").alias("c"), F.sum(F.size("docs")).alias("df")), "lm-words")
     seen, one = counted.filter("c > 0"), lambda k: F.count_if(F.col("c") == k)
     n, v, ends, n1, n2 = (int(x or 0) for x in seen.agg(F.sum("c"), F.count("*"), F.sum(F.when(F.col("word") == END, F.col("c"))), one(1), one(2)).first())
 
-    lattice = Lattice.load(vocabulary)
+    own = vocabulary if isinstance(vocabulary, Lattice) else Lattice.load(vocabulary)
+    lattice = copy.copy(own)
     if n:
         _learn(lattice, seen.filter(F.col("word") != END), rounds)
-    shared = docs.sparkSession.sparkContext.broadcast(lattice)
+    shared = docs.sparkSession.sparkContext.broadcast((own, lattice))  # their size is the vocabulary's
     words, kinds = n - ends, v - (ends > 0)
     mass = (n1 + 1) / max(kinds, 1)  # few words seen once: little is left to new ones
     discount = min(0.9, mass, n1 / (n1 + 2 * n2) if n1 else 0.5)
@@ -312,31 +323,40 @@ def lattice_scores(docs: DataFrame, vocabulary: str, *, key: str = "doc_id", tex
     lattice_share = discount * kinds / words if words else 1.0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for batch in batches:
-            low = model.log_probs(batch.column("word").to_pylist()) + math.log(lattice_share)
+            texts = batch.column("word").to_pylist()
+            ends_here = np.array(texts) == END
             c = batch.column("c").to_numpy(zero_copy_only=False)
             seen = c > 0
-            low[seen] = np.logaddexp(np.log((c[seen] - discount) / max(words, 1)), low[seen])
-            ends_here = np.array(batch.column("word").to_pylist()) == END
-            out = np.where(ends_here, math.log10(p_end), (low + math.log1p(-p_end)) / math.log(10))
-            yield pa.record_batch([batch.column("word"), batch.column("c"), pa.array(out, pa.float64())], ["word", "c", "lp"])
-
-    scored = counted.mapInArrow(run, "word string, c long, lp double")
-    each = postings.join(scored, "word").select("c", "lp", F.explode(F.arrays_zip("docs", "tfs")).alias("x")).select("c", "lp", F.col("x.docs").alias("doc"), F.col("x.tfs").alias("tf"))
+            first, tuned = (model.log_probs(texts) for model in shared.value)
+            mixed = tuned + math.log(lattice_share)
+            mixed[seen] = np.logaddexp(np.log((c[seen] - discount) / max(words, 1)), mixed[seen])
+            out = [pa.array(np.where(ends_here, math.log10(p_end), (lp + math.log1p(-p_end)) / math.log(10)), pa.float64()) for lp in (first, tuned, mixed)]
+            yield pa.record_batch([batch.column("word"), batch.column("c"), batch.column("df"), *out], ["word", "c", "df", "own", "tuned", "mixed"])
+
+    scored = materialize(counted.mapInArrow(run, "word string, c long, df long, own double, tuned double, mixed double"), "lm-scored")
+    least = (counted.agg(F.sum("df")).first()[0] or 0) // head
+    common, other = scored.filter(F.col("df") > least).drop("df"), scored.filter(F.col("df") <= least).drop("df")
+    met = postings.drop("train").join(F.broadcast(common), "word", "left")
+    rare = met.filter("c is null").select("word", "docs", "tfs", "keys").join(other, "word")
+    weights = ["c", "own", "tuned", "mixed"]
+    each = met.filter("c is not null").select(*weights, "docs", "tfs", "keys").union(rare.select(*weights, "docs", "tfs", "keys"))
+    each = each.select(*weights, F.explode(F.arrays_zip("docs", "tfs", "keys")).alias("x")).select(*weights, F.col("x.docs").alias("doc"), F.col("x.tfs").alias("tf"), F.col("x.keys").alias("id"))
     sums = each.groupBy("doc").agg(
+        F.max("id").alias(key),
         F.sum("tf").alias("n_tokens"),
         F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("n_known"),
         F.sum(F.col("tf") * F.log10(F.col("c") + 1)).alias("known_score"),
-        F.sum(F.col("tf") * F.col("lp")).alias("score"),
+        *(F.sum(F.col("tf") * F.col(w)).alias(w) for w in ("own", "tuned", "mixed")),
     )
-    id_ = F.when(F.col("doc") != int(_NULL_KEY), F.col("doc"))
     return sums.select(
-        id_.alias(key),
-        (crc_mod(id_, folds) == held).alias("held_out"),
+        key,
+        (crc_mod(key, folds) == held).alias("held_out"),
         "n_tokens",
         "n_known",
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("known_score") - F.col("n_tokens") * F.lit(math.log10(n + v + 1))).alias("base_score"),
-        "score",
+        F.col("own").alias("score"),
+        F.col("tuned").alias("tuned_score"),
+        F.col("mixed").alias("mixed_score"),
     )

@@ -56,6 +56,11 @@ def test_readers(spark, tmp_path):
     assert [(r.ts, r.x) for r in angles] == [(DAY + dt.timedelta(hours=23, minutes=59, seconds=58, milliseconds=10), 1), (DAY + dt.timedelta(hours=23, minutes=59, seconds=59, milliseconds=20), 1), (DAY + dt.timedelta(days=1, seconds=1, milliseconds=5), 4)]
     assert [r.jz for r in text_logs.read_imu(spark, str(tmp_path)).collect()] == [6, 6]
     assert sorted((r.ts.day, r.adc) for r in text_logs.read_ecg(spark, str(tmp_path)).collect()) == [(2, 5), (2, 7), (3, 6)]
+    write(tmp_path / "b/Raw_BMD_2025-01-02.txt", "t,v\n10:00:00.1,8\n")
+    assert [r.adc for r in text_logs.read_ecg(spark, str(tmp_path / "b")).collect()] == [8]
+    write(tmp_path / "c/Angle_undated.txt", "10:00:00 1 2 3 9\n")
+    with pytest.raises(Exception, match="Angle_undated"):
+        text_logs.read_angles(spark, str(tmp_path / "c")).collect()
     write(tmp_path / "l/Raw_a.csv", "timestamp,label\n2025-01-02 10:00:00.5,1\n2025-01-02 10:00:01,0\n")
     write(tmp_path / "l/BMD_b.csv", "b'2025-01-02 10:00:02',2\nnever,2\n")
     beats = text_logs.read_labels(spark, str(tmp_path / "l"))
@@ -101,3 +106,21 @@ def test_live_rates(spark, tmp_path):
         q.awaitTermination(120)
     assert {(r.n, r.status) for r in spark.table("rates").collect()} == {(3, "too_low"), (10, "normal")}
     assert [r.n for r in spark.table("sessions").collect()] == [13]
+
+
+def test_dense_counts_in_chunks(spark):
+    rows = spark.createDataFrame([("a", DAY + dt.timedelta(minutes=m)) for m in (0, 7, 7)] + [("b", DAY)], "k string, ts timestamp_ntz")
+    got = timeline.dense_counts(rows, ts="ts", width="1 minute", key="k", chunk=3).orderBy("k", "slot").collect()
+    assert [(r.k, (r.slot - DAY).seconds // 60, r.n) for r in got] == [*(("a", m, {0: 1, 7: 2}.get(m, 0)) for m in range(8)), ("b", 0, 1)]
+
+
+def test_folder_messages(spark):
+    files = [("20250102_x", "A1 2025-01-02.txt"), ("20250102_x", "A1 20250102 b.txt"), ("20250103", "A1 2025-01-04.txt"), ("20250103", "B2.txt"), ("misc", "A1 2025-01-04.txt")]
+    got = quality.folder_messages(spark.createDataFrame(files, "folder string, file_name string")).collect()
+    assert sorted((r.folder, r.finding, r.file_name, r.detail) for r in got) == [
+        ("20250102_x", "ok", "", "2"),
+        ("20250103", "date_mismatch", "A1 2025-01-04.txt", "20250104"),
+        ("20250103", "several_ids", "", "A1,B2"),
+        ("misc", "bad_name", "", ""),
+        ("misc", "few_files", "", "1"),
+    ]

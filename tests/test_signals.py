@@ -78,3 +78,12 @@ def test_spectrum_and_entropy_are_bounded(values):
     assert -1e-6 <= entropy <= np.log2(max(len(x), 1)) + 1e-6 and 0 <= frequency < 5 + 1e-9
     assert sum(shares) == pytest.approx(1) or sum(shares) == 0
     assert np.isfinite(sample_entropy(x))
+
+
+def test_margin_holds_before_the_snap():
+    """A place just inside the margin stays although its maximum lies within it."""
+    c, x = IntervalCorrector(), np.full(2000, 0.01)
+    a, b = 400, 400 + 2 * 77 + 1  # the middle lies 77 samples off, the margin is 76
+    x[a + 70] = 1.0
+    assert c._fill(x, a, b, 150.0, 1.0) == [a + 70]
+    assert c._fill(x, a, a + 2 * 76, 150.0, 1.0) == []

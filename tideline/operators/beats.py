@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -103,17 +104,23 @@ def peak_scorer(x: np.ndarray, fs: float = 512.0, height: float = 0.5) -> np.nda
     return bits
 
 
+@lru_cache(8)
+def _session(path: str):
+    """A model, loaded once by each worker."""
+    import onnxruntime
+
+    return onnxruntime.InferenceSession(path)
+
+
 def onnx_scorer(paths: list[str], stride: int = 1) -> Scorer:
     """An ensemble of models on (1, channels, n) tensors; a sample is a beat if any of them passes one half."""
 
     def score(x: np.ndarray) -> np.ndarray:
-        import onnxruntime
-
         tensor, bits = channels(x)[None], np.zeros(len(x), np.int8)
         if tensor.shape[1] != 3:
             raise ValueError("three channels are asked for")
         for p in paths:
-            model = onnxruntime.InferenceSession(p)
+            model = _session(p)
             logits = model.run(None, {model.get_inputs()[0].name: tensor})[0].reshape(-1)[: len(x)]
             bits |= (1 / (1 + np.exp(-logits)) > 0.5).astype(np.int8)
         return bits
@@ -162,8 +169,9 @@ class IntervalCorrector:
             return []
         edge = int(0.15 * self.fs)
         wanted = max(int(gap / ref) - 1, 1 if gap > 1.5 * ref else 0)
-        new = sorted({self._snap(x, a + round((b - a) * k / (wanted + 1))) for k in range(1, wanted + 1)})
-        new = [p for p in new if a + edge < p < b - edge and self._strength(x, p, 10) >= 0.4 * usual]
+        places = [int(a + (b - a) / (wanted + 1) * k) for k in range(1, wanted + 1)]
+        snapped = {self._snap(x, p) for p in places if a + edge < p < b - edge}  # the margin holds before the snap
+        new = sorted(p for p in snapped if a < p < b and self._strength(x, p, 10) >= 0.4 * usual)
         if not new:
             return []
         stops = [a, *new, b]

@@ -47,7 +47,33 @@ def folder_report(files: DataFrame) -> DataFrame:
     date = F.regexp_extract("folder", r"^(\d{8})", 1)
     own = F.replace(F.regexp_extract("file_name", r"(\d{8}|\d{4}-\d{2}-\d{2})", 1), F.lit("-"), F.lit(""))
     ids = F.expr(r"regexp_extract_all(file_name, '\\b([A-Za-z]{1,3}\\d{1,4})\\b', 1)")
-    rows = files.select("folder", date.alias("date"), (F.coalesce(own != date, F.lit(False)) & (own != "")).cast("long").alias("odd"), ids.alias("ids"))
+    odd = (date != "") & (own != "") & (own != date)
+    rows = files.select("folder", date.alias("date"), odd.cast("long").alias("odd"), ids.alias("ids"))
     found = rows.groupBy("folder", "date").agg(F.count("*").alias("files"), F.sum("odd").alias("odd_dates"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("ids"))
     fine = (F.col("date") != "") & (F.col("files") >= 2) & (F.col("odd_dates") == 0) & (F.size("ids") <= 1)
     return found.select("folder", F.col("date"), "files", "odd_dates", F.array_join(F.slice("ids", 1, 8), ",").alias("ids"), fine.alias("ok"))
+
+
+def folder_messages(files: DataFrame) -> DataFrame:
+    """One row for each finding of ``folder_report``: ``folder, finding, file_name, detail``; ``ok`` where a folder has none.
+
+    ``date_mismatch`` is a row for each file, once per name.
+    """
+    report = folder_report(files)
+    per_folder = F.array(
+        F.when(F.col("date") == "", F.struct(F.lit("bad_name").alias("finding"), F.lit("").alias("detail"))),
+        F.when(F.col("files") < 2, F.struct(F.lit("few_files").alias("finding"), F.col("files").cast("string").alias("detail"))),
+        F.when(F.col("ids").contains(","), F.struct(F.lit("several_ids").alias("finding"), F.col("ids").alias("detail"))),
+        F.when(F.col("ok"), F.struct(F.lit("ok").alias("finding"), F.col("files").cast("string").alias("detail"))),
+    )
+    folders = report.select("folder", F.inline(F.filter(per_folder, lambda x: x.isNotNull()))).select("folder", "finding", F.lit("").alias("file_name"), "detail")
+    date = F.regexp_extract("folder", r"^(\d{8})", 1)
+    own = F.replace(F.regexp_extract("file_name", r"(\d{8}|\d{4}-\d{2}-\d{2})", 1), F.lit("-"), F.lit(""))
+    odd = files.filter((date != "") & (own != "") & (own != date)).select("folder", F.lit("date_mismatch").alias("finding"), "file_name", own.alias("detail")).distinct()
+    return folders.unionByName(odd)
+
+
+def rate_histogram(slots: DataFrame, bins: int = 30) -> DataFrame:
+    """Slots by their number of rows, ``bin, slots``: empty slots and those over ``bins`` rows are left out, ``bins`` itself is in the last bin."""
+    shown = slots.filter((F.col("n") > 0) & (F.col("n") <= bins))
+    return shown.groupBy(F.least("n", F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count("*").alias("slots"))

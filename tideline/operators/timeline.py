@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.times import bucket, micros
+from ..functions.times import bucket, from_micros, micros
 
 
 def order(key: str | list[str], *by: str):
@@ -89,10 +89,35 @@ def rollover_days(df: DataFrame, *, key: str | list[str], clock_us: str, tie: st
     return marked.withColumn("days", F.sum("_crossed").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).withColumn("crossed", F.col("_crossed") == 1).drop("_crossed")
 
 
-def dense_counts(df: DataFrame, *, ts: str, width: str, key: str | None = None) -> DataFrame:
-    """``[key,] slot, n`` for every ``width`` between a series' first and last row, empty ones too."""
+def rollover_triggers(df: DataFrame, *, key: str, clock_us: str, tie: str | list[str], back_s: float = 0.0, midnight: bool = False, shown: int = 10) -> DataFrame:
+    """The first ``shown`` rows of each series that count as a midnight: ``key, number, before_us, clock_us, rule``, with the row's place in the series."""
+    w = order(key, *([tie] if isinstance(tie, str) else tie))
+    rolled = rollover_days(df, key=key, clock_us=clock_us, tie=tie, back_s=back_s, midnight=midnight)
+    seen = rolled.withColumns({"_before": F.lag(clock_us).over(w), "_row": F.row_number().over(w) - 1})
+    natural = (F.col("_before") >= 84_600_000_000) & (F.col(clock_us) <= 1_800_000_000)
+    rule = F.when(F.lit(midnight) & natural & (F.col(clock_us) - F.col("_before") < -1_800_000_000), "midnight").otherwise("long_step")
+    return seen.filter(F.col("crossed") & (F.col("days") <= shown)).select(key, F.col("days").alias("number"), F.col("_row").alias("row"), F.col("_before").alias("before_us"), F.col(clock_us).alias("clock_us"), rule.alias("rule"))
+
+
+def rollover_log(df: DataFrame, *, key: str, clock_us: str, tie: str | list[str], back_s: float = 0.0, midnight: bool = False) -> DataFrame:
+    """Per series ``rows, crossings, first_us, last_us`` and ``odd``: a file of one day passes one midnight at most."""
+    rolled = rollover_days(df, key=key, clock_us=clock_us, tie=tie, back_s=back_s, midnight=midnight)
+    place = F.struct(*([tie] if isinstance(tie, str) else tie))
+    counted = rolled.groupBy(key).agg(F.count("*").alias("rows"), F.count_if("crossed").alias("crossings"), F.min_by(clock_us, place).alias("first_us"), F.max_by(clock_us, place).alias("last_us"))
+    return counted.withColumn("odd", F.col("crossings") >= 2)
+
+
+def dense_counts(df: DataFrame, *, ts: str, width: str, key: str | None = None, chunk: int = 4096) -> DataFrame:
+    """``[key,] slot, n`` for every ``width`` between a series' first and last row, empty ones too.
+
+    The grid is laid out ``chunk`` slots at a time, so no row holds a whole series' slots.
+    """
     keys = [key] if key else []
     counts = df.groupBy(*keys, bucket(ts, width).alias("slot")).agg(F.count("*").alias("n"))
     ends = counts.groupBy(*keys).agg(F.min("slot").alias("a"), F.max("slot").alias("b"))
-    grid = ends.select(*keys, F.explode(F.sequence("a", "b", F.expr(f"interval {width}"))).alias("slot"))
+    step = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', TIMESTAMP_NTZ'1970-01-01 00:00:00' + interval {width})")
+    spans = ends.select(*keys, micros("a").alias("_a"), step.alias("_step"), F.floor((micros("b") - micros("a")) / step).cast("long").alias("_last"))
+    chunks = spans.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"), F.lit(chunk).cast("long"))).alias("_from"))
+    places = chunks.select("*", F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + (chunk - 1), F.col("_last")))).alias("_k"))
+    grid = places.select(*keys, from_micros(F.col("_a") + F.col("_k") * F.col("_step")).alias("slot"))
     return grid.join(counts, [*keys, "slot"], "left").select(*keys, "slot", F.coalesce("n", F.lit(0)).cast("long").alias("n"))

@@ -247,13 +247,58 @@ def night_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FILES = "SELECT strftime(ts, '%Y%m%d') || '_B' || (user_id % 7) AS folder, 'IMU B' || (user_id % 2 + user_id % 7) || ' ' || strftime(ts + INTERVAL '1 hour', '%Y-%m-%d') || '.txt' AS file_name FROM events"
 
 
-@register(f"""WITH f AS ({_FILES}), p AS (SELECT folder, regexp_extract(folder, '^(\\d{{8}})', 1) AS date, replace(regexp_extract(file_name, '(\\d{{8}}|\\d{{4}}-\\d{{2}}-\\d{{2}})', 1), '-', '') AS own, regexp_extract_all(file_name, '\\b([A-Za-z]{{1,3}}\\d{{1,4}})\\b', 1) AS ids FROM f),
-g AS (SELECT folder, date, count(*) AS files, CAST(count(*) FILTER (own <> date AND own <> '') AS BIGINT) AS odd_dates, list_sort(list_distinct(flatten(list(ids)))) AS ids FROM p GROUP BY 1, 2)
-SELECT folder, date, files, odd_dates, array_to_string(ids[1:8], ',') AS ids, date <> '' AND files >= 2 AND odd_dates = 0 AND len(ids) <= 1 AS ok FROM g""")
-def folder_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+_FOLDERS = f"""WITH f AS ({_FILES}), p AS (SELECT folder, file_name, regexp_extract(folder, '^(\\d{{8}})', 1) AS date, replace(regexp_extract(file_name, '(\\d{{8}}|\\d{{4}}-\\d{{2}}-\\d{{2}})', 1), '-', '') AS own, regexp_extract_all(file_name, '\\b([A-Za-z]{{1,3}}\\d{{1,4}})\\b', 1) AS ids FROM f),
+g AS (SELECT folder, date, count(*) AS files, CAST(count(*) FILTER (own <> date AND own <> '' AND date <> '') AS BIGINT) AS odd_dates, list_sort(list_distinct(flatten(list(ids)))) AS ids FROM p GROUP BY 1, 2)"""
+_FINE = "date <> '' AND files >= 2 AND odd_dates = 0 AND len(ids) <= 1"
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.lit("IMU B"), F.col("user_id") % 2 + F.col("user_id") % 7, F.lit(" "), F.date_format(F.col("ts") + F.expr("interval 1 hour"), "yyyy-MM-dd"), F.lit(".txt"))
-    files = events(spark, sf_dir).select(F.concat(F.date_format("ts", "yyyyMMdd"), F.lit("_B"), F.col("user_id") % 7).alias("folder"), name.alias("file_name"))
-    return quality.folder_report(files)
+    return events(spark, sf_dir).select(F.concat(F.date_format("ts", "yyyyMMdd"), F.lit("_B"), F.col("user_id") % 7).alias("folder"), name.alias("file_name"))
+
+
+@register(f"{_FOLDERS} SELECT folder, date, files, odd_dates, array_to_string(ids[1:8], ',') AS ids, {_FINE} AS ok FROM g")
+def folder_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.folder_report(_files(spark, sf_dir))
+
+
+@register(f"""{_FOLDERS} SELECT folder, 'bad_name' AS finding, '' AS file_name, '' AS detail FROM g WHERE date = '' UNION ALL SELECT folder, 'few_files', '', CAST(files AS VARCHAR) FROM g WHERE files < 2
+UNION ALL SELECT folder, 'several_ids', '', array_to_string(ids[1:8], ',') FROM g WHERE len(ids) > 1 UNION ALL SELECT folder, 'ok', '', CAST(files AS VARCHAR) FROM g WHERE {_FINE}
+UNION ALL SELECT DISTINCT folder, 'date_mismatch', file_name, own FROM p WHERE own <> date AND own <> '' AND date <> ''""")
+def folder_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.folder_messages(_files(spark, sf_dir))
+
+
+@register(f"{_SLOTS} SELECT CAST(least(n, 29) AS INTEGER) AS bin, count(*) AS slots FROM s WHERE n > 0 AND n <= 30 GROUP BY 1")
+def rate_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rate_histogram(_slots(spark, sf_dir))
+
+
+@register("""WITH c AS (SELECT time_bucket(INTERVAL '1 minute', ts) AS m, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY 1), g AS (SELECT unnest(generate_series(min(m), max(m), INTERVAL '1 minute')) AS m FROM c)
+SELECT CAST(g.m AS DATE) AS day, round((epoch_us(g.m) - epoch_us(date_trunc('day', g.m))) / 3600000000.0, 6) AS hours, coalesce(n, 0) AS beats FROM g LEFT JOIN c USING (m)""")
+def minute_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beats of every minute of each day, empty minutes too; purchases stand in for beats."""
+    slots = timeline.dense_counts(events(spark, sf_dir).filter("event_type = 'purchase'"), ts="ts", width="1 minute")
+    hours = (times.micros("slot") % 86_400_000_000) / F.lit(3_600_000_000.0)
+    return slots.select(F.to_date("slot").alias("day"), r6(hours).alias("hours"), F.col("n").alias("beats"))
+
+
+def _clocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events(spark, sf_dir).withColumn("clock", times.clock_micros(F.date_format("ts", "HH:mm:ss.SSS")))
+
+
+_CROSSED = f"""{_CLOCK}, x AS (SELECT *, coalesce(step < -7200000000 OR (step < -1800000000 AND b >= 84600000000 AND clock <= 1800000000), false) AS crossed FROM s)"""
+
+
+@register(f"{_CROSSED} SELECT user_id, count(*) AS rows, count(*) FILTER (crossed) AS crossings, arg_min(clock, (ts, event_id)) AS first_us, arg_max(clock, (ts, event_id)) AS last_us, count(*) FILTER (crossed) >= 2 AS odd FROM x GROUP BY 1")
+def rollover_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeline.rollover_log(_clocked(spark, sf_dir), key="user_id", clock_us="clock", tie=["ts", "event_id"], back_s=7200, midnight=True)
+
+
+@register(f"""{_CROSSED}, n AS (SELECT user_id, crossed, CAST(sum(CASE WHEN crossed THEN 1 ELSE 0 END) OVER {_W} AS INTEGER) AS number, CAST(row_number() OVER {_W} - 1 AS INTEGER) AS row, b AS before_us, clock AS clock_us FROM x)
+SELECT user_id, number, row, before_us, clock_us, CASE WHEN before_us >= 84600000000 AND clock_us <= 1800000000 THEN 'midnight' ELSE 'long_step' END AS rule FROM n WHERE crossed AND number <= 10""")
+def rollover_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeline.rollover_triggers(_clocked(spark, sf_dir), key="user_id", clock_us="clock", tie=["ts", "event_id"], back_s=7200, midnight=True)
 
 
 @register()

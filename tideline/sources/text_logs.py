@@ -19,9 +19,11 @@ def file_lines(spark: SparkSession, path: str, recursive: bool = True) -> DataFr
     return lines.withColumn("row_no", F.monotonically_increasing_id())
 
 
-def named(lines: DataFrame, starts: str = "", contains: str = "") -> DataFrame:
+def named(lines: DataFrame, starts: str = "", contains: str = "", without: str | None = None) -> DataFrame:
     """Files by name; of those of one name in several folders the last path counts."""
     picked = lines.filter(F.col("file").startswith(starts) & F.col("file").contains(contains))
+    if without is not None:
+        picked = picked.filter(~F.col("file").contains(without))
     chosen = picked.groupBy("file").agg(F.max("path").alias("path"))
     return picked.join(chosen, ["file", "path"], "left_semi")
 
@@ -36,14 +38,18 @@ def _without_header(lines: DataFrame, rows: int) -> DataFrame:
 def clock_series(lines: DataFrame, columns: tuple[str, ...], *, separator: str = r"\s+", header: int = 0, date: Column | None = None, back_s: float = 0.0, midnight: bool = False) -> DataFrame:
     """Rows of time of day and numbers as a dated series: ``source, row_no, ts`` and the numbers.
 
-    Malformed times and numbers drop their row.  The date comes from the file's name.
+    Malformed times and numbers drop their row.  The date comes from the file's name; a file whose name
+    holds none stops the job with that name.
     """
     body = _without_header(lines, header)
     cut = F.split(F.trim("line"), separator)
     fields = [F.get(cut, F.lit(k)).alias(c) for k, c in enumerate(columns)]
     rows = body.select("file", "path", "block", "row_no", *fields)
     numbers = [c for c in columns if c != "timestamp"]
-    typed = rows.select("file", "path", "block", "row_no", clock_micros(F.col("timestamp")).alias("clock"), (name_date(F.col("file")) if date is None else date).alias("date"), *(F.col(c).try_cast("double").alias(c) for c in numbers))
+    if date is None:
+        undated = F.raise_error(F.concat(F.lit("no date in the file name "), F.col("file"))).cast("date")
+        date = F.coalesce(name_date(F.col("file")), undated)
+    typed = rows.select("file", "path", "block", "row_no", clock_micros(F.col("timestamp")).alias("clock"), date.alias("date"), *(F.col(c).try_cast("double").alias(c) for c in numbers))
     rolled = rollover_days(typed.na.drop("any", subset=["clock", "date", *numbers]), key="path", clock_us="clock", tie=["block", "row_no"], back_s=back_s, midnight=midnight)
     dated = F.datediff(F.col("date"), F.lit("1970-01-01").cast("date")).cast("long") + F.col("days")
     return rolled.select(name_stem(F.col("file")).alias("source"), "row_no", from_micros(dated * 86_400_000_000 + F.col("clock")).alias("ts"), *numbers)
@@ -58,10 +64,10 @@ def read_imu(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_ecg(spark: SparkSession, path: str) -> DataFrame:
-    """``source, row_no, ts, adc`` of both raw layouts; files of neither are refused by not being read."""
+    """``source, row_no, ts, adc`` of both raw layouts, a name that fits both being of the second; files of neither are refused by not being read."""
     lines = file_lines(spark, path)
-    raw = clock_series(named(lines, starts="Raw"), ("timestamp", "adc"))
-    bmd = clock_series(named(lines, contains="BMD101"), ("timestamp", "adc"), separator=",", header=1)
+    raw = clock_series(named(lines, starts="Raw", without="BMD"), ("timestamp", "adc"))
+    bmd = clock_series(named(lines, contains="BMD"), ("timestamp", "adc"), separator=",", header=1)
     return raw.unionByName(bmd)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_search, decontaminate, jaccard_join, lattice_lm, line_dedup, packing, secrets, token_count, token_files, toxicity
+from . import ann_search, decontaminate, importance, jaccard_join, lattice_lm, line_dedup, oracle, packing, prefix_trie, secrets, token_count, token_files, toxicity, url_filters
 
 
 def _tokenizer(name: str) -> str:
@@ -60,9 +60,26 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(_documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+#: Host, path and verdict of the rules that op12 applies.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filters.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_benchmark_leaks, op2_nearest_vectors, op3_toxicity, op4_retrieval_packing, op5_fuzzy_lines, op6_lattice_scores, op7_ngram_jaccard_join, op8_secret_scan, op9_token_id_files, op10_token_counts)
+    f.__name__: f for f in (op1_benchmark_leaks, op2_nearest_vectors, op3_toxicity, op4_retrieval_packing, op5_fuzzy_lines, op6_lattice_scores, op7_ngram_jaccard_join, op8_secret_scan, op9_token_id_files, op10_token_counts, op11_prefix_trie, op12_url_filters, op13_importance_resampling)
 }
 
 #: DuckDB SQL where SQL can express a query on whole tables in reasonable time.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_prefix_trie": oracle.PREFIX_TRIE, "op12_url_filters": oracle.url_filters(URL_RULES), "op13_importance_resampling": oracle.IMPORTANCE}

@@ -56,10 +56,10 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z: the lowered bytes, word starts, ends, and words per text."""
+def words(buf: np.ndarray, offs: np.ndarray, gap: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z: the lowered bytes, word starts, ends, and words per text; ``gap`` marks other bytes between words."""
     low = _LOWER[buf]
-    ink = ~_BLANK[buf]
+    ink = ~gap[buf]
     before, after = np.zeros_like(ink), np.zeros_like(ink)
     before[1:], after[:-1] = ink[:-1], ink[1:]
     inner = offs[(offs > 0) & (offs < len(buf))]

@@ -5,46 +5,53 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .timeline import order
-
-
-def percentile_if(value: str, p: float, condition: Column) -> Column:
-    return F.percentile(F.when(condition, F.col(value)), F.lit(p))
+from ..functions.vectors import clipped
+from .quantiles import exact_quantiles
+from .scans import null_safe
+from .timeline import HOUR, beside
 
 
 def speed_thresholds(df: DataFrame, value: str, *, key: str, active: float = 1.0, floor: float = 300.0, active_p: float = 0.75, suspicious_p: float = 0.999) -> DataFrame:
     """Per key: the usual speed of active samples, and the speed from which one is suspicious (null without any)."""
-    on = F.col(value) > active
-    top = percentile_if(value, suspicious_p, on)
-    return df.groupBy(key).agg(percentile_if(value, active_p, on).alias("active_base"), F.when(top.isNotNull(), F.greatest(top, F.lit(floor))).alias("suspicious"))
+    on = F.when(F.col(value) > active, F.col(value))
+    found = exact_quantiles(df, {"active_base": (on, active_p), "top": (on, suspicious_p)}, keys=[key])
+    return found.select(key, "active_base", F.when(F.col("top").isNotNull(), F.greatest("top", F.lit(floor))).alias("suspicious"))
 
 
-def activity_status(df: DataFrame, value: str, thresholds: DataFrame, *, key: str, series: str, ts: str, tie: str, ratio: float = 10.0) -> DataFrame:
+def activity_status(df: DataFrame, value: str, thresholds: DataFrame, *, key: str, series: str, ts: str, tie: str, ratio: float = 10.0, chunk_us: int = HOUR) -> DataFrame:
     """``status``: a suspicious sample is real if its neighbours move too, an artefact if it stands alone.
 
-    ``thresholds`` has one row per ``key`` and is small: Spark may broadcast it.
+    ``thresholds`` has one row per ``key``: Spark broadcasts it if its size allows, and else splits a hot key.
     """
-    w = order(series, ts, tie)
-    near = F.greatest(F.coalesce(F.lag(value).over(w), F.lit(0.0)), F.coalesce(F.lead(value).over(w), F.lit(0.0)))
-    joined = df.withColumn("near", near).join(thresholds, key, "left").withColumn("isolation", F.col(value) / (F.col("near") + 1))
+    beside_it = beside(df, {"v": F.col(value)}, key=series, ts=ts, tie=tie, chunk_us=chunk_us)
+    near = F.greatest(F.coalesce("before_v", F.lit(0.0)), F.coalesce("after_v", F.lit(0.0)))
+    joined = null_safe(beside_it.select(*df.columns, near.alias("near")), thresholds, [key], "left").withColumn("isolation", F.col(value) / (F.col("near") + 1))
     high = F.col(value) > F.col("suspicious")
     real = high & ((F.col("near") > F.col("active_base")) | (F.col("isolation") < ratio))
     alone = high & (F.col("near") < F.col("active_base")) & (F.col("isolation") > ratio)
     return joined.withColumn("status", F.when(F.coalesce(real, F.lit(False)), "Real_Activity").when(F.coalesce(alone, F.lit(False)), "Artifact").otherwise("Normal"))
 
 
+def effort_limits(df: DataFrame, value: str, *, key: str, lowest: float = 0.01, factor: float = 1.5, highest: float = 3.0) -> DataFrame:
+    """Per key the noise floor and the ceiling of effort, learnt from rows that are no artefacts."""
+    sane = F.when(F.col("status") != "Artifact", F.col(value))
+    found = exact_quantiles(df, {"mid": (sane, 0.5), "top": (sane, 0.999)}, keys=[key])
+    return found.select(key, F.greatest(factor * F.col("mid"), F.lit(lowest)).alias("noise_floor"), F.least("top", F.lit(highest)).alias("impact_ceiling"))
+
+
 def behaviour_thresholds(df: DataFrame, *, key: str, effort: str, roll: str | None = None, pitch: str | None = None, speed: str | None = None, lying: tuple[float, float] = (40.0, 80.0)) -> DataFrame:
     """Per key: low and high effort, lying angle, head-down pitch, active speed, with their usual values where nothing tells."""
-    on = F.col(effort) > 0
-    out = [F.coalesce(percentile_if(effort, 0.33, on), F.lit(0.01)).alias("low"), F.coalesce(percentile_if(effort, 0.75, on), F.lit(0.05)).alias("high")]
+    over = lambda c, least: F.when(F.col(c) > least, F.col(c))
+    wanted = {"low": (over(effort, 0), 0.33), "high": (over(effort, 0), 0.75)}
+    usual = {"low": 0.01, "high": 0.05, "head_down": 10.0, "active": 10.0}
     if roll:
-        p = F.percentile(F.abs(roll), F.lit(0.9))
-        out.append(F.when(p.isNotNull(), F.least(F.greatest(p, F.lit(lying[0])), F.lit(lying[1]))).alias("lying"))
+        wanted["lying"] = (F.abs(F.col(roll)), 0.9)
     if pitch:
-        out.append(F.coalesce(percentile_if(pitch, 0.75, F.col(pitch) > 0), F.lit(10.0)).alias("head_down"))
+        wanted["head_down"] = (over(pitch, 0), 0.75)
     if speed:
-        out.append(F.coalesce(percentile_if(speed, 0.75, F.col(speed) > 1), F.lit(10.0)).alias("active"))
-    return df.groupBy(key).agg(*out)
+        wanted["active"] = (over(speed, 1), 0.75)
+    found = exact_quantiles(df, wanted, keys=[key])
+    return found.select(key, *(clipped(F.col(c), *lying).alias(c) if c == "lying" else F.coalesce(c, F.lit(usual[c])).alias(c) for c in wanted))
 
 
 def cleaned_effort(effort: Column, status: Column, strength: Column, floor: Column, ceiling: Column) -> Column:

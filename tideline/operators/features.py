@@ -1,6 +1,6 @@
 """Per-slot features: distribution statistics natively, spectra and sample entropy by numpy over batches of slots.
 
-A slot is a second of a recording, some ten samples.
+A slot is a second of a recording, some ten samples; only ``sample_entropy_of_any_size`` takes slots without a bound.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .scans import null_safe
 from .timeline import order
 
 
@@ -41,61 +42,131 @@ def distribution(df: DataFrame, value: str, *, slot: list[str], ts: str, tie: st
         F.count(value).alias("n"), mean.alias("mean"), F.coalesce(F.sum(value), F.lit(0.0)).alias("total"), F.max(value).alias("high"), F.min(value).alias("low"), F.stddev_samp(value).alias("sd"),
         F.coalesce(_ratio(sd, mean), F.lit(0.0)).alias("cv"), F.coalesce(skew, F.lit(0.0)).alias("skew"), F.coalesce(kurt, F.lit(0.0)).alias("kurt"),
         F.percentile(value, F.lit(0.25)).alias("p25"), F.percentile(value, F.lit(0.75)).alias("p75"), F.sqrt(F.avg(x * x)).alias("rms"),
-        (F.coalesce(F.sum("_turn"), F.lit(0.0)) / 2).alias("crossings"), F.sum("_peak").alias("peaks"), correlation(own, last).alias("autocorr"),
+        (F.coalesce(F.sum("_turn"), F.lit(0.0)) / 2).alias("crossings"), F.sum("_peak").alias("peaks"), F.when(n >= 2, correlation(own, last)).otherwise(F.when(n > 0, F.lit(0.0))).alias("autocorr"),
     )
 
 
-def spectrum(x: np.ndarray, rate: float, edges: tuple[float, float] = (1.0, 4.0)) -> tuple[float, float, float, float, float]:
-    """Spectral entropy over all bins, the strongest positive frequency below half the rate, and power shares of three bands."""
-    n = len(x)
+def spectrum(x: np.ndarray, rate: float, edges: tuple[float, float] = (1.0, 4.0)) -> np.ndarray:
+    """Of each row of ``x``: spectral entropy over all bins, the strongest positive frequency below half the rate, and power shares of three bands."""
+    m, n = x.shape
+    out = np.zeros((m, 5))
     if n < 3:
-        return 0.0, 0.0, 0.0, 0.0, 0.0
-    power = np.abs(np.fft.fft(x)) ** 2
-    total = power.sum()
-    p = power / total if total > 0 else power
-    entropy = float(-(p * np.log2(p + 1e-10)).sum()) if total > 0 else 0.0
+        return out
+    power = np.abs(np.fft.fft(x, axis=1)) ** 2
+    total = power.sum(1, keepdims=True)
+    share = np.divide(power, total, out=np.zeros_like(power), where=total > 0)
+    out[:, 0] = np.where(total[:, 0] > 0, -(share * np.log2(share + 1e-10)).sum(1), 0.0)
     k = np.arange(1, (n - 1) // 2 + 1)
-    positive, freq = power[k], k * rate / n
-    whole = positive.sum()
-    if not whole > 0:
-        return entropy, float(freq[0]) if len(freq) else 0.0, 0.0, 0.0, 0.0
+    positive, freq = power[:, k], k * rate / n
     # ties in floating sums go to the lower frequency
-    best = int(np.flatnonzero(positive >= positive.max() * (1 - 1e-9))[0])
-    low, mid, high = (float(positive[m].sum() / whole) for m in (freq < edges[0], (freq >= edges[0]) & (freq < edges[1]), freq >= edges[1]))
-    return entropy, float(freq[best]), low, mid, high
+    out[:, 1] = freq[np.argmax(positive >= positive.max(1, keepdims=True) * (1 - 1e-9), axis=1)]
+    whole = positive.sum(1)
+    for j, band in enumerate((freq < edges[0], (freq >= edges[0]) & (freq < edges[1]), freq >= edges[1]), 2):
+        out[:, j] = np.divide(positive[:, band].sum(1), whole, out=np.zeros(m), where=whole > 0)
+    return out
+
+
+def sample_entropy(x: np.ndarray, r: float = 0.2, cells: int = 1 << 22) -> np.ndarray:
+    """Of each row of ``x``: -ln of the share of matching pairs of two values that match with the third too; 0 where undefined."""
+    m, n = x.shape
+    out = np.zeros(m)
+    if n < 4:
+        return out
+    radius, step = r * x.std(axis=1), max(1, cells // (n * n))
+    for a in range(0, m, step):
+        part, limit = x[a : a + step], radius[a : a + step, None]
+        pairs, triples = np.zeros(len(part), np.int64), np.zeros(len(part), np.int64)
+        for lag in range(1, n - 1):  # templates so many places apart
+            close = np.abs(part[:, lag:] - part[:, :-lag]) < limit
+            two = close[:, :-1] & close[:, 1:]
+            pairs += two.sum(1)
+            triples += (two[:, :-1] & close[:, 2:]).sum(1)
+        known = (pairs > 0) & (triples > 0) & (limit[:, 0] > 0)
+        out[a : a + step][known] = -np.log(triples[known] / pairs[known])
+    return out
+
+
+def turns(x: np.ndarray) -> np.ndarray:
+    """Of each row of ``x``: zero crossings, peaks over half its maximum, and the correlation of neighbours (nan if either side is constant, 0 for one value)."""
+    m, n = x.shape
+    out = np.zeros((m, 3))
+    if n >= 2:
+        out[:, 0] = np.abs(np.diff(np.sign(x), axis=1)).sum(1) / 2
+        a, b = x[:, :-1], x[:, 1:]
+        da, db = a - a.mean(1, keepdims=True), b - b.mean(1, keepdims=True)
+        varied = (a.max(1) > a.min(1)) & (b.max(1) > b.min(1))
+        out[:, 2] = np.divide((da * db).sum(1), np.sqrt((da * da).sum(1) * (db * db).sum(1)), out=np.full(m, np.nan), where=varied)
+    if n >= 3:
+        mid = x[:, 1:-1]
+        out[:, 1] = ((mid > x[:, :-2]) & (mid > x[:, 2:]) & (mid > 0.5 * x.max(1, keepdims=True))).sum(1)
+    return out
+
+
+#: Features of a slot's values in order of time, by kind.
+KINDS = {"waves": ("entropy", "frequency", "power_low", "power_mid", "power_high"), "sample": ("sample_entropy",), "turns": ("crossings", "peaks", "autocorr")}
+
+
+def in_order(value: Column, ts: str, tie: str) -> Column:
+    """Aggregate: a slot's values that are no null, in order of time; for slots of bounded size."""
+    listed = F.sort_array(F.collect_list(F.when(value.isNotNull() & ~F.isnan(value), F.struct(F.col(ts).alias("t"), F.col(tie).alias("i"), value.cast("double").alias("x")))))
+    return listed["x"]
+
+
+def with_shapes(slots: DataFrame, arrays: dict[str, tuple[str, float | None, tuple[str, ...]]]) -> DataFrame:
+    """``slots`` with ``<prefix><feature>`` of its array columns, which go: prefix to (column, rate, kinds).
+
+    A null rate is the number of values.  A batch's slots of one length are computed together.
+    """
+    kept = [f for f in slots.schema if f.name not in {c for c, _, _ in arrays.values()}]
+    added = {p: [n for k in kinds for n in KINDS[k]] for p, (_, _, kinds) in arrays.items()}
+    schema = StructType([*kept, *(StructField(p + n, DoubleType()) for p, names in added.items() for n in names)])
+
+    def shapes(column: pa.Array, rate: float | None, kinds: tuple[str, ...], width: int) -> np.ndarray:
+        sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+        flat, edge = column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(sizes)])
+        out = np.zeros((len(sizes), width))
+        for n in np.unique(sizes).tolist():
+            own = np.flatnonzero(sizes == n)
+            x = flat[edge[own][:, None] + np.arange(n)]
+            of = {"waves": lambda x=x, n=n: spectrum(x, n if rate is None else rate), "sample": lambda x=x: sample_entropy(x)[:, None], "turns": lambda x=x: turns(x)}
+            out[own] = np.concatenate([of[k]() for k in kinds], axis=1) if n else 0.0
+        return out
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns, names = [batch.column(f.name) for f in kept], [f.name for f in kept]
+            for prefix, (name, rate, kinds) in arrays.items():
+                out = shapes(batch.column(name), rate, kinds, len(added[prefix]))
+                columns += [pa.array(out[:, j], from_pandas=True) for j in range(out.shape[1])]  # nan becomes null
+                names += [prefix + n for n in added[prefix]]
+            yield pa.record_batch(columns, names)
 
-def sample_entropy(x: np.ndarray, m: int = 2, r: float = 0.2) -> float:
-    """-ln of the share of matching templates of ``m`` values that match at ``m + 1``; 0 where undefined."""
-    n, radius = len(x), r * float(np.std(x)) if len(x) else 0.0
-    if n < m + 2 or radius == 0:
-        return 0.0
+    return slots.mapInArrow(run, schema)
 
-    def matches(size: int) -> int:
-        t = np.lib.stride_tricks.sliding_window_view(x, size)
-        return int(sum((np.abs(t[i + 1 :] - t[i]).max(1) < radius).sum() for i in range(len(t) - 1)))
 
-    b, a = matches(m), matches(m + 1)
-    return float(-np.log(a / b)) if a and b else 0.0
+def spectra(df: DataFrame, value: str, *, slot: list[str], ts: str, tie: str, rate: float, waves: bool = True, sample: bool = True) -> DataFrame:
+    """Spectral features (``waves``) and sample entropy (``sample``) of each slot; slots are of bounded size, a second or an hour."""
+    kinds = tuple(k for k, on in (("waves", waves), ("sample", sample)) if on)
+    slots = df.groupBy(*slot).agg(in_order(F.col(value), ts, tie).alias("_x"))
+    return with_shapes(slots, {"": ("_x", rate, kinds)})
 
 
-def spectra(df: DataFrame, value: str, *, slot: list[str], ts: str, tie: str, rate: float, waves: bool = True, sample: bool = True) -> DataFrame:
-    """Spectral features (``waves``) and sample entropy (``sample``) of each slot.
+def sample_entropy_of_any_size(df: DataFrame, value: str, *, slot: list[str], ts: str, tie: str, r: float = 0.2) -> DataFrame:
+    """``sample_entropy`` of slots without a bound, from joins alone.
 
-    Slots are gathered in the shuffle as arrays in order of time, and many of them go to numpy in one batch.
+    Templates lie in cells as wide as the radius, by their first two values; only templates of neighbouring cells
+    are compared, and the matches are counted where they arise.
     """
-    names = [*(["entropy", "frequency", "power_low", "power_mid", "power_high"] if waves else []), *(["sample_entropy"] if sample else [])]
-    gathered = df.groupBy(*slot).agg(F.sort_array(F.collect_list(F.struct(F.col(ts).alias("t"), F.col(tie).alias("i"), F.col(value).cast("double").alias("x")))).alias("_rows"))
-    series = gathered.select(*slot, F.filter(F.col("_rows.x"), lambda x: x.isNotNull() & ~F.isnan(x)).alias("_x"))
-    schema = StructType([*(series.schema[s] for s in slot), *(StructField(n, DoubleType()) for n in names)])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column("_x")
-            flat, edge = column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]).astype(int)
-            out = np.zeros((batch.num_rows, len(names)))
-            for k, (a, b) in enumerate(zip(edge[:-1], edge[1:])):
-                out[k] = [*(spectrum(flat[a:b], rate) if waves else ()), *([sample_entropy(flat[a:b])] if sample else ())]
-            yield pa.record_batch([*(batch.column(s) for s in slot), *(pa.array(out[:, j]) for j in range(len(names)))], [*slot, *names])
-
-    return series.mapInArrow(run, schema)
+    w = order(slot, ts, tie)
+    x = [F.col(value).cast("double"), F.lead(value, 1).over(w).cast("double"), F.lead(value, 2).over(w).cast("double")]
+    rows = df.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(*slot, F.row_number().over(w).alias("i"), *(c.alias(f"x{k}") for k, c in enumerate(x)))
+    radius = rows.groupBy(*slot).agg((r * F.stddev_pop("x0")).alias("r"), F.count("*").alias("n"))
+    cell = lambda c: F.floor(F.col(c) / F.col("r"))
+    placed = null_safe(rows, radius.filter("n >= 4 and r > 0"), slot, "inner").filter("x1 is not null").select(*slot, "i", "r", "x0", "x1", "x2", cell("x0").alias("c0"), cell("x1").alias("c1"))
+    near = [F.struct((F.col("c0") + a).alias("c0"), (F.col("c1") + b).alias("c1")) for a in (-1, 0, 1) for b in (-1, 0, 1)]
+    other = placed.select(*slot, F.col("i").alias("j"), *(F.col(f"x{k}").alias(f"y{k}") for k in range(3)), F.inline(F.array(*near)))
+    close = lambda k: F.abs(F.col(f"x{k}") - F.col(f"y{k}")) < F.col("r")
+    met = null_safe(placed, other, [*slot, "c0", "c1"], "inner").filter((F.col("i") < F.col("j")) & close(0) & close(1))
+    counts = met.groupBy(*slot).agg(F.count("*").alias("pairs"), F.count_if(close(2)).alias("triples"))
+    share = F.when((F.col("pairs") > 0) & (F.col("triples") > 0), -F.log(F.col("triples") / F.col("pairs")))
+    return null_safe(df.select(*slot).distinct(), counts, slot, "left").select(*slot, F.coalesce(share, F.lit(0.0)).alias("sample_entropy"))

@@ -1,7 +1,7 @@
-"""Running sums over series of any length: a series is cut into chunks, and the chunks' totals are summed before them.
+"""Windows over series of any length: a series is cut into chunks, and what passes a border is carried over it.
 
 No window holds more than one chunk of one series, so a series with a third of all rows is spread over
-as many tasks as it has chunks.  The second, ordered pass over totals has a row per chunk.
+as many tasks as it has chunks.  What is carried has a row per chunk.  Null keys are a key of their own.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 def null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
     """Equi-join in which null keys meet; the right side's keys are dropped."""
     other = right.select(*(F.col(c).alias(f"_r_{c}") if c in on else F.col(c) for c in right.columns))
-    met = reduce(lambda a, b: a & b, (left[c].eqNullSafe(other[f"_r_{c}"]) for c in on))
+    met = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on))
     return left.join(other, met, how).drop(*(f"_r_{c}" for c in on))
 
 
@@ -23,7 +23,7 @@ def running_sums(df: DataFrame, values: dict[str, Column], *, key: list[str], ch
     """``df`` with the sums of ``values`` over the rows of its key up to and with each row.
 
     The order is that of ``chunk`` and then ``by``, so ``chunk`` must not fall along ``by`` (a null chunk
-    comes first).  Nulls count as 0; null keys are a key of their own; rows that ``by`` leaves tied come in any order.
+    comes first).  Nulls count as 0; rows that ``by`` leaves tied come in any order.
     """
     rows = df.withColumn("_chunk", chunk)
     w = Window.partitionBy(*key, "_chunk").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
@@ -34,3 +34,36 @@ def running_sums(df: DataFrame, values: dict[str, Column], *, key: list[str], ch
     offsets = totals.select(*key, "_chunk", *(F.sum(f"_all_{n}").over(before).alias(f"_before_{n}") for n in values))
     joined = null_safe(inside, offsets, [*key, "_chunk"], "left")
     return joined.select(*df.columns, *((zero(F.col(f"_before_{n}")) + F.col(f"_in_{n}")).alias(n) for n in values))
+
+
+def neighbours(df: DataFrame, values: dict[str, Column], *, key: list[str], chunk: Column, by: list[str], after: bool = True) -> DataFrame:
+    """``df`` with ``before_<name>`` and ``after_<name>``: ``values`` of the rows next to each in its series, null at the ends.
+
+    The order is that of ``chunk`` and then ``by``, as in ``running_sums``; ``by`` should leave no ties.
+    """
+    rows = df.withColumns({"_chunk": chunk, "_v": F.struct(*(v.alias(n) for n, v in values.items()))})
+    w, place = Window.partitionBy(*key, "_chunk").orderBy(*by), F.struct(*by)
+    inside = rows.select("*", F.lag("_v").over(w).alias("_b"), *([F.lead("_v").over(w).alias("_a")] if after else []))
+    edges = rows.groupBy(*key, "_chunk").agg(F.max_by("_v", place).alias("_last"), *([F.min_by("_v", place).alias("_first")] if after else []))
+    along = Window.partitionBy(*key).orderBy(F.asc_nulls_first("_chunk"))
+    around = edges.select(*key, "_chunk", F.lag("_last").over(along).alias("_eb"), *([F.lead("_first").over(along).alias("_ea")] if after else []))
+    joined = null_safe(inside, around, [*key, "_chunk"], "left")
+    out = [F.coalesce("_b", "_eb")[n].alias(f"before_{n}") for n in values]
+    if after:
+        out += [F.coalesce("_a", "_ea")[n].alias(f"after_{n}") for n in values]
+    return joined.select(*df.columns, *out)
+
+
+def framed(df: DataFrame, aggregates: list[Column], *, key: list[str], at: Column, back: int, ahead: int, width: int) -> DataFrame:
+    """``df`` with ``aggregates`` over the rows of its key whose integer ``at`` lies from ``at - back`` to ``at + ahead``.
+
+    A row near a border is copied into the chunks that need it; ``width`` is a chunk's, no less than the frame's.
+    """
+    width = max(width, back + ahead + 1)
+    own, place = F.floor(at / width), at.cast("long")
+    rows = df.withColumns({"_at": place, "_own": own})
+    copies = rows.withColumn("_chunk", F.explode(F.coalesce(F.sequence(F.floor((F.col("_at") - ahead) / width), F.floor((F.col("_at") + back) / width)), F.array(F.lit(None).cast("long")))))
+    w = Window.partitionBy(*key, "_chunk").orderBy("_at").rangeBetween(-back, ahead)
+    names = [f"_f{k}" for k in range(len(aggregates))]
+    found = copies.select(*df.columns, "_own", "_chunk", *(a.over(w).alias(n) for a, n in zip(aggregates, names)))
+    return found.filter(F.col("_own").eqNullSafe(F.col("_chunk"))).drop("_own", "_chunk")

@@ -1,6 +1,7 @@
 """Neighbours in time: steps, gaps, runs, day rollover, centred means, dense grids.
 
-Every operator works per ``key``; a series is ordered by its time and then by ``tie``.
+Every operator works per ``key``; a series is ordered by its time and then by ``tie``.  Series are cut into
+chunks of ``chunk_us`` microseconds (see ``scans``), so that a long one is spread over many tasks.
 """
 
 from __future__ import annotations
@@ -9,23 +10,36 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.times import bucket, from_micros, micros
+from ..scratch import materialize
+from .scans import framed, neighbours, null_safe, running_sums
+
+HOUR = 3_600_000_000
 
 
 def order(key: str | list[str], *by: str):
     return Window.partitionBy(*([key] if isinstance(key, str) else key)).orderBy(*by)
 
 
-def with_dt(df: DataFrame, *, key: str, ts: str, tie: str) -> DataFrame:
+def time_chunk(ts: str, chunk_us: int) -> Column:
+    return F.floor(micros(ts) / chunk_us)
+
+
+def beside(df: DataFrame, values: dict[str, Column], *, key: str, ts: str, tie: str, chunk_us: int = HOUR, after: bool = True) -> DataFrame:
+    """``before_<name>`` and ``after_<name>`` of the rows next to each in time."""
+    return neighbours(df, values, key=[key], chunk=time_chunk(ts, chunk_us), by=[ts, tie], after=after)
+
+
+def with_dt(df: DataFrame, *, key: str, ts: str, tie: str, chunk_us: int = HOUR) -> DataFrame:
     """``dt``: seconds since the row before, null for the first."""
-    us = micros(ts)
-    return df.withColumn("dt", (us - F.lag(us).over(order(key, ts, tie))) / F.lit(1e6))
+    rows = beside(df, {"us": micros(ts)}, key=key, ts=ts, tie=tie, chunk_us=chunk_us, after=False)
+    return rows.select(*df.columns, ((micros(ts) - F.col("before_us")) / F.lit(1e6)).alias("dt"))
 
 
-def gaps(df: DataFrame, *, key: str, ts: str, tie: str, longer_than: float) -> DataFrame:
+def gaps(df: DataFrame, *, key: str, ts: str, tie: str, longer_than: float, chunk_us: int = HOUR) -> DataFrame:
     """Stretches without rows of over ``longer_than`` seconds: ``key, gap_start, gap_end, gap_s``."""
-    before = F.lag(ts).over(order(key, ts, tie))
-    stepped = with_dt(df, key=key, ts=ts, tie=tie).withColumn("_before", before)
-    return stepped.filter(F.col("dt") > longer_than).select(key, F.col("_before").alias("gap_start"), F.col(ts).alias("gap_end"), F.col("dt").alias("gap_s"))
+    rows = beside(df.select(key, ts, tie), {"ts": F.col(ts)}, key=key, ts=ts, tie=tie, chunk_us=chunk_us, after=False)
+    gap = (micros(ts) - micros("before_ts")) / F.lit(1e6)
+    return rows.select(key, F.col("before_ts").alias("gap_start"), F.col(ts).alias("gap_end"), gap.alias("gap_s")).filter(F.col("gap_s") > longer_than)
 
 
 def first_of_time(df: DataFrame, *, key: str, ts: str, tie: str) -> DataFrame:
@@ -39,54 +53,69 @@ def spread_repeats(df: DataFrame, *, key: str, ts: str, tie: str, unit_us: int =
     return df.withColumn(out, micros(ts) + F.floor(rank * F.lit(unit_us) / total).cast("long"))
 
 
-def runs(df: DataFrame, state: Column, *, key: str, ts: str, tie: str) -> DataFrame:
+def _numbered_runs(marked: DataFrame, *, key: str, ts: str, tie: str, chunk_us: int) -> DataFrame:
+    """``marked`` without ``_changed``, with ``run`` and ``run_length``: run numbers pass chunk borders as sums of changes, lengths are counted per chunk and added up per run."""
+    kept = [c for c in marked.columns if c != "_changed"]
+    marked = materialize(marked, "runs")  # read by the rows, the sums and the lengths
+    numbered = running_sums(marked, {"run": F.col("_changed")}, key=[key], chunk=time_chunk(ts, chunk_us), by=[F.col(ts), F.col(tie)])
+    numbered = numbered.select(*kept, "run", time_chunk(ts, chunk_us).alias("_chunk"))
+    parts = numbered.groupBy(key, "_chunk", "run").agg(F.count("*").alias("_n"))
+    lengths = parts.select(key, "_chunk", "run", F.sum("_n").over(Window.partitionBy(key, "run")).alias("run_length"))
+    return null_safe(numbered, lengths, [key, "_chunk", "run"], "left").select(*kept, "run", "run_length")
+
+
+def runs(df: DataFrame, state: Column, *, key: str, ts: str, tie: str, chunk_us: int = HOUR) -> DataFrame:
     """``run`` (number within the key) and ``run_length`` of stretches of equal ``state``."""
-    w = order(key, ts, tie)
-    marked = df.withColumn("_s", state)
-    changed = F.when(F.lag("_s").over(w).eqNullSafe(F.col("_s")) & (F.row_number().over(w) > 1), 0).otherwise(1)
-    numbered = marked.withColumn("_c", changed).withColumn("run", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.withColumn("run_length", F.count("*").over(Window.partitionBy(key, "run"))).drop("_s", "_c")
+    marked = beside(df.withColumn("_s", state), {"s": F.struct(F.col("_s").alias("s"))}, key=key, ts=ts, tie=tie, chunk_us=chunk_us, after=False)
+    changed = F.when(F.col("before_s").isNotNull() & F.col("before_s.s").eqNullSafe(F.col("_s")), 0).otherwise(1)
+    return _numbered_runs(marked.select(*df.columns, changed.cast("long").alias("_changed")), key=key, ts=ts, tie=tie, chunk_us=chunk_us)
 
 
-def fill_joint_zeros(df: DataFrame, axes: list[str], *, key: str, ts: str, tie: str, least: int = 3) -> DataFrame:
+def fill_joint_zeros(df: DataFrame, axes: list[str], *, key: str, ts: str, tie: str, least: int = 3, chunk_us: int = HOUR) -> DataFrame:
     """Rows of zeros on all axes in runs of at least ``least`` become the mean of their original neighbours.
 
     The inside of a run has zeros as neighbours and stays zero; at either end of a series the one
     neighbour counts.  ``filled`` marks the rows.
     """
-    zero = F.lit(True)
-    for a in axes:
-        zero = zero & F.coalesce(F.col(a) == 0, F.lit(False))
-    w = order(key, ts, tie)
-    out = runs(df.withColumn("_zero", zero), F.col("_zero"), key=key, ts=ts, tie=tie).withColumn("filled", F.col("_zero") & (F.col("run_length") >= least))
-    for a in axes:
-        before, after = F.lag(a).over(w), F.lead(a).over(w)
-        out = out.withColumn(f"_{a}", F.when(F.col("filled"), (F.coalesce(before, after) + F.coalesce(after, before)) / 2).otherwise(F.col(a)))
+
+    def zero(of: str) -> Column:
+        out = F.lit(True)
+        for a in axes:
+            out = out & F.coalesce(F.col(f"{of}{a}") == 0, F.lit(False))
+        return out
+
+    near = beside(df, {a: F.col(a) for a in axes} | {"row": F.lit(True)}, key=key, ts=ts, tie=tie, chunk_us=chunk_us)
+    changed = F.when(F.col("before_row") & (zero("before_") == zero("")), 0).otherwise(1)
+    out = _numbered_runs(near.withColumn("_changed", changed.cast("long")), key=key, ts=ts, tie=tie, chunk_us=chunk_us)
+    filled = zero("") & (F.col("run_length") >= least)
+    mean = {a: (F.coalesce(f"before_{a}", f"after_{a}") + F.coalesce(f"after_{a}", f"before_{a}")) / 2 for a in axes}
     kept = [c for c in df.columns if c not in axes]
-    return out.select(*kept, *(F.col(f"_{a}").alias(a) for a in axes), "filled")
+    return out.select(*kept, *(F.when(filled, mean[a]).otherwise(F.col(a)).alias(a) for a in axes), filled.alias("filled"))
 
 
-def centred_mean(df: DataFrame, values: list[str], *, key: str, ts: str, half_us: int = 1_000_000) -> DataFrame:
+def centred_mean(df: DataFrame, values: list[str], *, key: str, ts: str, half_us: int = 1_000_000, chunk_us: int = HOUR) -> DataFrame:
     """``<value>_mean`` over the rows after t - half and up to t + half."""
-    w = Window.partitionBy(key).orderBy("_us").rangeBetween(-half_us + 1, half_us)
-    out = df.withColumn("_us", micros(ts))
-    return out.select("*", *(F.avg(v).over(w).alias(f"{v}_mean") for v in values), F.count("*").over(w).alias("rows_in_frame")).drop("_us")
+    found = framed(df, [*(F.avg(v) for v in values), F.count("*")], key=[key], at=micros(ts), back=half_us - 1, ahead=half_us, width=chunk_us)
+    return found.select(*df.columns, *(F.col(f"_f{k}").alias(f"{v}_mean") for k, v in enumerate(values)), F.col(f"_f{len(values)}").alias("rows_in_frame"))
 
 
-def rollover_days(df: DataFrame, *, key: str | list[str], clock_us: str, tie: str | list[str], back_s: float = 0.0, midnight: bool = False) -> DataFrame:
+def rollover_days(df: DataFrame, *, key: str | list[str], clock_us: str, tie: str | list[str], back_s: float = 0.0, midnight: bool = False, chunk: Column | None = None) -> DataFrame:
     """``days``: midnights passed since the series began, from a clock that starts over.
 
     A step back of over ``back_s`` seconds is a midnight; with ``midnight``, so is one of over half
-    an hour that leaves the last half hour of a day for the first of the next.
+    an hour that leaves the last half hour of a day for the first of the next.  ``chunk`` cuts long series;
+    it must not fall along ``tie`` (a file's block, say).
     """
-    w = order(key, *([tie] if isinstance(tie, str) else tie))
-    step = F.col(clock_us) - F.lag(clock_us).over(w)
+    keys, by, chunk = [key] if isinstance(key, str) else key, [tie] if isinstance(tie, str) else tie, F.lit(0) if chunk is None else chunk
+    near = neighbours(df, {"clock": F.col(clock_us)}, key=keys, chunk=chunk, by=by, after=False)
+    step = F.col(clock_us) - F.col("before_clock")
     crossed = step < -int(back_s * 1e6)
     if midnight:
-        late, early = F.lag(clock_us).over(w) >= 84_600_000_000, F.col(clock_us) <= 1_800_000_000
+        late, early = F.col("before_clock") >= 84_600_000_000, F.col(clock_us) <= 1_800_000_000
         crossed = crossed | ((step < -1_800_000_000) & late & early)
-    marked = df.withColumn("_crossed", F.coalesce(crossed, F.lit(False)).cast("int"))
-    return marked.withColumn("days", F.sum("_crossed").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).withColumn("crossed", F.col("_crossed") == 1).drop("_crossed")
+    marked = near.withColumn("crossed", F.coalesce(crossed, F.lit(False)))
+    summed = running_sums(marked, {"days": F.col("crossed").cast("int")}, key=keys, chunk=chunk, by=[F.col(c) for c in by])
+    return summed.select(*df.columns, F.col("days").cast("int").alias("days"), "crossed")
 
 
 def rollover_triggers(df: DataFrame, *, key: str, clock_us: str, tie: str | list[str], back_s: float = 0.0, midnight: bool = False, shown: int = 10) -> DataFrame:

@@ -164,8 +164,7 @@ def around_first_event(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT event_id, round(CASE WHEN x > c THEN c ELSE x END, 6) AS effort FROM (SELECT *, CASE WHEN x0 < f THEN 0.0 ELSE x0 END AS x FROM (SELECT a.event_id, f, c, CASE WHEN status = 'Artifact' OR value < 0.2 THEN 0.0 ELSE value END AS x0 FROM a JOIN l USING (event_type)))""")
 def cleaned_effort(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _status(spark, sf_dir)
-    sane = F.col("status") != "Artifact"
-    limits = rows.groupBy("event_type").agg(F.greatest(1.5 * anomaly.percentile_if("value", 0.5, sane) / 4, F.lit(0.01)).alias("f"), F.least(anomaly.percentile_if("value", 0.999, sane), F.lit(300.0)).alias("c"))
+    limits = anomaly.effort_limits(rows, "value", key="event_type", factor=1.5 / 4, highest=300.0).toDF("event_type", "f", "c")
     v = F.col("value")
     return rows.join(limits, "event_type").select("event_id", r6(anomaly.cleaned_effort(v, F.col("status"), v, F.col("f"), F.col("c"))).alias("effort"))
 
@@ -180,29 +179,32 @@ def behaviour_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT user_id, count(value) AS n, round(avg(value), 6) AS mean, round(sum(value), 4) AS total, round(max(value), 6) AS high, round(min(value), 6) AS low, round(stddev_samp(value), 6) AS sd, round(stddev_pop(value) / avg(value), 6) AS cv,
 round(CASE WHEN count(value) >= 3 THEN coalesce(CASE WHEN stddev_pop(value) > 0 THEN skewness(value) END, 0) ELSE 0 END, 6) AS skew, round(CASE WHEN count(value) >= 4 THEN coalesce(CASE WHEN stddev_pop(value) > 0 THEN kurtosis(value) END, 0) ELSE 0 END, 5) AS kurt,
 round(quantile_cont(value, 0.25), 6) AS p25, round(quantile_cont(value, 0.75), 6) AS p75, round(sqrt(avg(value * value)), 6) AS rms, round(coalesce(sum(abs(sign(value) - sign(b))), 0) / 2, 6) AS crossings,
-CAST(count(*) FILTER (value > b AND value > a AND value > 0.5 * top) AS BIGINT) AS peaks, round(CASE WHEN stddev_pop(value) FILTER (b IS NOT NULL) > 0 AND stddev_pop(b) > 0 THEN covar_pop(value, b) / (stddev_pop(value) FILTER (b IS NOT NULL) * stddev_pop(b)) END, 6) AS autocorr FROM p GROUP BY 1""")
+CAST(count(*) FILTER (value > b AND value > a AND value > 0.5 * top) AS BIGINT) AS peaks, round(CASE WHEN stddev_pop(value) FILTER (b IS NOT NULL) > 0 AND stddev_pop(b) > 0 THEN covar_pop(value, b) / (stddev_pop(value) FILTER (b IS NOT NULL) * stddev_pop(b)) WHEN count(value) = 1 THEN 0 END, 6) AS autocorr FROM p GROUP BY 1""")
 def slot_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = features.distribution(events(spark, sf_dir), "value", slot=["user_id"], ts="ts", tie="event_id")
     digits = {"total": 4, "kurt": 5}
     return out.select("user_id", "n", "peaks", *(F.round(c, digits.get(c, 6)).alias(c) for c in out.columns if c not in ("user_id", "n", "peaks")))
 
 
-@register(f"""WITH p AS (SELECT user_id, value AS x, row_number() OVER {_W} - 1 AS t, count(*) OVER (PARTITION BY user_id) AS n FROM events), k AS (SELECT DISTINCT user_id, n, unnest(range(0, n)) AS k FROM p),
-f AS (SELECT p.user_id, p.n, k.k, pow(sum(x * cos(2 * pi() * ((t * k.k) % p.n) / p.n)), 2) + pow(sum(x * sin(2 * pi() * ((t * k.k) % p.n) / p.n)), 2) AS w FROM p JOIN k ON p.user_id = k.user_id WHERE p.n >= 3 GROUP BY 1, 2, 3),
-e AS (SELECT user_id, -sum(w / total * log2(w / total + 1e-10)) AS entropy FROM (SELECT *, sum(w) OVER (PARTITION BY user_id) AS total FROM f) GROUP BY 1),
-q AS (SELECT *, k * 10.0 / n AS freq, max(w) OVER (PARTITION BY user_id) AS top FROM f WHERE k BETWEEN 1 AND (n - 1) // 2),
-d AS (SELECT user_id, min(freq) FILTER (w >= top * (1 - 1e-9)) AS frequency, coalesce(sum(w) FILTER (freq < 1), 0) / sum(w) AS a, coalesce(sum(w) FILTER (freq >= 1 AND freq < 4), 0) / sum(w) AS b, coalesce(sum(w) FILTER (freq >= 4), 0) / sum(w) AS c FROM q GROUP BY 1)
-SELECT u.user_id, round(coalesce(entropy, 0), 5) AS entropy, round(coalesce(frequency, 0), 6) AS frequency, round(coalesce(a, 0), 5) AS power_low, round(coalesce(b, 0), 5) AS power_mid, round(coalesce(c, 0), 5) AS power_high FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN e USING (user_id) LEFT JOIN d USING (user_id)""")
+@register(f"""WITH ev AS (SELECT user_id || ' ' || CAST(date_trunc('week', ts) AS DATE) AS slot, * FROM events), p AS (SELECT slot, value AS x, row_number() OVER (PARTITION BY slot ORDER BY ts, event_id) - 1 AS t, count(*) OVER (PARTITION BY slot) AS n FROM ev), k AS (SELECT DISTINCT slot, n, unnest(range(0, n)) AS k FROM p),
+f AS (SELECT p.slot, p.n, k.k, pow(sum(x * cos(2 * pi() * ((t * k.k) % p.n) / p.n)), 2) + pow(sum(x * sin(2 * pi() * ((t * k.k) % p.n) / p.n)), 2) AS w FROM p JOIN k ON p.slot = k.slot WHERE p.n >= 3 GROUP BY 1, 2, 3),
+e AS (SELECT slot, -sum(w / total * log2(w / total + 1e-10)) AS entropy FROM (SELECT *, sum(w) OVER (PARTITION BY slot) AS total FROM f) GROUP BY 1),
+q AS (SELECT *, k * 10.0 / n AS freq, max(w) OVER (PARTITION BY slot) AS top FROM f WHERE k BETWEEN 1 AND (n - 1) // 2),
+d AS (SELECT slot, min(freq) FILTER (w >= top * (1 - 1e-9)) AS frequency, coalesce(sum(w) FILTER (freq < 1), 0) / sum(w) AS a, coalesce(sum(w) FILTER (freq >= 1 AND freq < 4), 0) / sum(w) AS b, coalesce(sum(w) FILTER (freq >= 4), 0) / sum(w) AS c FROM q GROUP BY 1)
+SELECT u.slot, round(coalesce(entropy, 0), 5) AS entropy, round(coalesce(frequency, 0), 6) AS frequency, round(coalesce(a, 0), 5) AS power_low, round(coalesce(b, 0), 5) AS power_mid, round(coalesce(c, 0), 5) AS power_high FROM (SELECT DISTINCT slot FROM ev) u LEFT JOIN e USING (slot) LEFT JOIN d USING (slot)""")
 def slot_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = features.spectra(events(spark, sf_dir), "value", slot=["user_id"], ts="ts", tie="event_id", rate=10.0, sample=False)
-    return out.select("user_id", *(F.round(c, 6 if c == "frequency" else 5).alias(c) for c in ("entropy", "frequency", "power_low", "power_mid", "power_high")))
+    """A user's week is a slot."""
+    week = F.concat_ws(" ", "user_id", F.date_trunc("week", "ts").cast("date"))
+    out = features.spectra(events(spark, sf_dir).withColumn("slot", week), "value", slot=["slot"], ts="ts", tie="event_id", rate=10.0, sample=False)
+    return out.select("slot", *(F.round(c, 6 if c == "frequency" else 5).alias(c) for c in ("entropy", "frequency", "power_low", "power_mid", "power_high")))
 
 
 @register(f"""WITH p AS (SELECT user_id, value AS x, row_number() OVER {_W} AS i, count(*) OVER (PARTITION BY user_id) AS n, 0.2 * stddev_pop(value) OVER (PARTITION BY user_id) AS r, lead(value) OVER {_W} AS x1, lead(value, 2) OVER {_W} AS x2 FROM events),
 m AS (SELECT a.user_id, count(*) FILTER (a.i <= a.n - 1 AND b.i <= a.n - 1 AND greatest(abs(a.x - b.x), abs(a.x1 - b.x1)) < a.r) AS bb, count(*) FILTER (a.i <= a.n - 2 AND b.i <= a.n - 2 AND greatest(abs(a.x - b.x), abs(a.x1 - b.x1), abs(a.x2 - b.x2)) < a.r) AS aa FROM p a JOIN p b ON a.user_id = b.user_id AND a.i < b.i WHERE a.n >= 4 AND a.r > 0 GROUP BY 1)
 SELECT u.user_id, round(CASE WHEN aa > 0 AND bb > 0 THEN -ln(aa / bb) ELSE 0 END, 6) AS sample_entropy FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN m USING (user_id)""")
 def slot_sample_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = features.spectra(events(spark, sf_dir), "value", slot=["user_id"], ts="ts", tie="event_id", rate=10.0, waves=False)
+    """A user's whole history is a slot, so no slot is gathered anywhere."""
+    out = features.sample_entropy_of_any_size(events(spark, sf_dir), "value", slot=["user_id"], ts="ts", tie="event_id")
     return out.select("user_id", r6("sample_entropy").alias("sample_entropy"))
 
 
@@ -239,9 +241,9 @@ def wrapped_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", r6(turn).alias("turn"))
 
 
-@register("""WITH n AS (SELECT user_id, quantile_cont(value, 0.5) AS m FROM events WHERE hour(ts) >= 23 OR hour(ts) < 4 GROUP BY 1) SELECT event_id, round(value - coalesce(m, 0), 6) AS value FROM events LEFT JOIN n USING (user_id)""")
-def night_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return movement.night_zero(events(spark, sf_dir), key="user_id", ts="ts", axes=["value"]).select("event_id", r6("value").alias("value"))
+@register("""SELECT user_id, round(quantile_cont(value, 0.5) FILTER (hour(ts) >= 23 OR hour(ts) < 4), 6) AS zero_value, count(*) FILTER (hour(ts) >= 23 OR hour(ts) < 4) AS n_samples FROM events GROUP BY 1""")
+def posture_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return movement.posture_zero(events(spark, sf_dir), key="user_id", ts="ts", axes=["value"]).select("user_id", r6("zero_value").alias("zero_value"), "n_samples")
 
 
 _FILES = "SELECT strftime(ts, '%Y%m%d') || '_B' || (user_id % 7) AS folder, 'IMU B' || (user_id % 2 + user_id % 7) || ' ' || strftime(ts + INTERVAL '1 hour', '%Y-%m-%d') || '.txt' AS file_name FROM events"

@@ -31,17 +31,17 @@ def _wrapped(x: str) -> str:
 def _shape(rows: str, value: str) -> str:
     return f"""SELECT {_KEYS}, coalesce(stddev_pop(v) / nullif(avg(v), 0), 0) AS cv, CASE WHEN count(v) >= 3 THEN coalesce(CASE WHEN stddev_pop(v) > 0 THEN skewness(v) END, 0) ELSE 0 END AS skew, CASE WHEN count(v) >= 4 THEN coalesce(CASE WHEN stddev_pop(v) > 0 THEN kurtosis(v) END, 0) ELSE 0 END AS kurt,
 quantile_cont(v, 0.25) AS p25, quantile_cont(v, 0.75) AS p75, sqrt(avg(v * v)) AS rms, coalesce(sum(abs(sign(v) - sign(b))), 0) / 2 AS crossings, CAST(count(*) FILTER (v > b AND v > a AND v > 0.5 * top) AS BIGINT) AS peaks,
-CASE WHEN stddev_pop(v) FILTER (b IS NOT NULL) > 0 AND stddev_pop(b) > 0 THEN covar_pop(v, b) / (stddev_pop(v) FILTER (b IS NOT NULL) * stddev_pop(b)) END AS autocorr
+CASE WHEN count(v) < 2 THEN 0 WHEN stddev_pop(v) FILTER (b IS NOT NULL) > 0 AND stddev_pop(b) > 0 THEN covar_pop(v, b) / (stddev_pop(v) FILTER (b IS NOT NULL) * stddev_pop(b)) END AS autocorr
 FROM (SELECT {_KEYS}, {value} AS v, lag({value}) OVER ({_SLOT} ORDER BY ts, event_id) AS b, lead({value}) OVER ({_SLOT} ORDER BY ts, event_id) AS a, max({value}) OVER ({_SLOT}) AS top FROM {rows}) GROUP BY ALL"""
 
 
-def _waves(rows: str, value: str) -> str:
+def _waves(rows: str, value: str, rate: str = "10.0") -> str:
     return f"""SELECT u.event_type, u.second, coalesce(entropy, 0) AS entropy, coalesce(frequency, 0) AS frequency, coalesce(low, 0) AS power_low, coalesce(mid, 0) AS power_mid, coalesce(high, 0) AS power_high, CASE WHEN aa > 0 AND bb > 0 THEN -ln(aa / bb) ELSE 0 END AS sample_entropy
 FROM (SELECT DISTINCT {_KEYS} FROM {rows}) u
 LEFT JOIN (WITH p AS (SELECT {_KEYS}, {value} AS x, row_number() OVER ({_SLOT} ORDER BY ts, event_id) - 1 AS t, count(*) OVER ({_SLOT}) AS n FROM {rows}), k AS (SELECT DISTINCT {_KEYS}, n, unnest(range(0, n)) AS k FROM p WHERE n >= 3),
 f AS (SELECT {_KEYS}, p.n, k.k, pow(sum(x * cos(2 * pi() * ((t * k.k) % p.n) / p.n)), 2) + pow(sum(x * sin(2 * pi() * ((t * k.k) % p.n) / p.n)), 2) AS w FROM p JOIN k USING (event_type, second) GROUP BY ALL),
 e AS (SELECT {_KEYS}, CASE WHEN max(total) > 0 THEN -sum(w / nullif(total, 0) * log2(w / nullif(total, 0) + 1e-10)) END AS entropy FROM (SELECT *, sum(w) OVER ({_SLOT}) AS total FROM f) GROUP BY ALL),
-q AS (SELECT *, k * 10.0 / n AS freq, max(w) OVER ({_SLOT}) AS top FROM f WHERE k BETWEEN 1 AND (n - 1) // 2)
+q AS (SELECT *, k * {rate} / n AS freq, max(w) OVER ({_SLOT}) AS top FROM f WHERE k BETWEEN 1 AND (n - 1) // 2)
 SELECT * FROM e LEFT JOIN (SELECT {_KEYS}, min(freq) FILTER (w >= top * (1 - 1e-9)) AS frequency, coalesce(sum(w) FILTER (freq < 1), 0) / nullif(sum(w), 0) AS low, coalesce(sum(w) FILTER (freq >= 1 AND freq < 4), 0) / nullif(sum(w), 0) AS mid, coalesce(sum(w) FILTER (freq >= 4), 0) / nullif(sum(w), 0) AS high FROM q GROUP BY ALL) USING (event_type, second)) USING (event_type, second)
 LEFT JOIN (WITH p AS (SELECT {_KEYS}, {value} AS x, row_number() OVER ({_SLOT} ORDER BY ts, event_id) AS i, count(*) OVER ({_SLOT}) AS n, 0.2 * stddev_pop({value}) OVER ({_SLOT}) AS r, lead({value}) OVER ({_SLOT} ORDER BY ts, event_id) AS x1, lead({value}, 2) OVER ({_SLOT} ORDER BY ts, event_id) AS x2 FROM {rows})
 SELECT event_type, second, count(*) FILTER (b.i <= b.n - 1 AND greatest(abs(a.x - b.x), abs(a.x1 - b.x1)) < a.r) AS bb, count(*) FILTER (b.i <= b.n - 2 AND greatest(abs(a.x - b.x), abs(a.x1 - b.x1), abs(a.x2 - b.x2)) < a.r) AS aa FROM p a JOIN p b USING (event_type, second) WHERE a.i < b.i AND a.n >= 4 AND a.r > 0 GROUP BY ALL) USING (event_type, second)"""
@@ -90,19 +90,18 @@ w AS (SELECT *, date_trunc('second', ts) AS second, CASE WHEN dt <= 0.5 THEN abs
 t AS (SELECT event_type, coalesce(quantile_cont(effort, 0.33) FILTER (effort > 0), 0.01) AS low, coalesce(quantile_cont(effort, 0.75) FILTER (effort > 0), 0.05) AS high, least(greatest(quantile_cont(abs(roll), 0.9), 40), 80) AS lying, coalesce(quantile_cont(pitch, 0.75) FILTER (pitch > 0), 10) AS head_down, coalesce(quantile_cont(gyro, 0.75) FILTER (gyro > 1), 10) AS active FROM w GROUP BY 1),
 b AS (SELECT {_KEYS}, avg(effort) AS Acc_Mean, sum(effort) AS Acc_Sum, max(effort) AS Acc_Max, min(effort) AS Acc_Min, max(effort) - min(effort) AS Acc_Range, stddev_samp(effort) AS Acc_Std, avg(gyro) AS Gyro_Mean, max(gyro) AS Gyro_Max, count(x) AS Data_Count, {_IMU_BY_AXIS}, {_mean_sd("strength", "AccMag")}, {_mean_sd("roll", "Roll")}, {_mean_sd("pitch", "Pitch")}, avg(jerk) AS Jerk_Mean, {_mean_sd("tilt", "Tilt_Mag")},
 {_share("gyro > active", "Active_Fraction")}, {_share("effort <= low", "Frac_Rest")}, {_share("effort > low AND effort <= high", "Frac_Moderate")}, {_share("effort > high", "Frac_Vigorous")}, {_share("abs(roll) > lying", "Frac_Lying")}, {_share("pitch > head_down", "Frac_HeadDown")}, {_corr("X", "Y")}, {_corr("X", "Z")}, {_corr("Y", "Z")} FROM w JOIN t USING (event_type) GROUP BY ALL)
-SELECT b.*, DynX_Mean_abs + DynY_Mean_abs + DynZ_Mean_abs AS ODBA, {_dominant([f"Dyn{n}_Std" for n in _XYZ])}, cv AS Coefficient_of_Variation, skew AS Skewness, kurt AS Kurtosis, p25 AS Acc_P25, p75 AS Acc_P75, rms AS VeDBA_RMS, crossings AS Zero_Crossing_Rate, peaks AS Peak_Count, autocorr AS Autocorr_Lag1,
+SELECT b.*, DynX_Mean_abs + DynY_Mean_abs + DynZ_Mean_abs AS ODBA, {_dominant([f"Ang{n}_Std" for n in _XYZ])}, cv AS Coefficient_of_Variation, skew AS Skewness, kurt AS Kurtosis, p25 AS Acc_P25, p75 AS Acc_P75, rms AS VeDBA_RMS, crossings AS Zero_Crossing_Rate, peaks AS Peak_Count, autocorr AS Autocorr_Lag1,
 entropy AS Spectral_Entropy, frequency AS Dominant_Frequency, power_low AS Power_Low, power_mid AS Power_Loco, power_high AS Power_High, sample_entropy AS Sample_Entropy FROM b JOIN ({_shape("w", "effort")}) USING ({_KEYS}) JOIN ({_waves("w", "effort")}) USING ({_KEYS})"""
 
 _ANGLE_AXES = "CASE WHEN value < 12 THEN 0 ELSE 170 * sin(value * 7) END AS x, CASE WHEN value < 12 THEN 0 ELSE 170 * sin(value * 3) END AS y, CASE WHEN value < 12 THEN 0 ELSE 170 * sin(value * 11) END AS z"
 _FILLED = ", ".join(f"CASE WHEN st AND k >= 3 THEN (coalesce(before_{a}, after_{a}) + coalesce(after_{a}, before_{a})) / 2 ELSE {a} END AS {a}" for a in "xyz")
 _LAGS = ", ".join(f"lag({a}) OVER {_ORDER} AS before_{a}, lead({a}) OVER {_ORDER} AS after_{a}" for a in "xyz")
-_NIGHT = ", ".join(f"quantile_cont({a}, 0.5) AS m{a}" for a in "xyz")
 _CLEAN = ", ".join(f"CASE WHEN status <> 'Artifact' THEN {c} END AS {c}" for c in ("dX", "dY", "dZ", "angle", "gyro"))
 _OF_DZ, _OF_GYRO, _OF_ANGLE = ("(SELECT * FROM w WHERE {0} IS NOT NULL)".format(c) for c in ("dZ", "gyro", "angle"))
 
-_ANGLE_SQL = f"""WITH e AS (SELECT *, {_ANGLE_AXES} FROM ({_TIMES})), o AS (SELECT *, x = 0 AND y = 0 AND z = 0 AS st FROM e), h AS (SELECT *, CASE WHEN lag(st) OVER {_ORDER} IS NOT DISTINCT FROM st AND row_number() OVER {_ORDER} > 1 THEN 0 ELSE 1 END AS ch FROM o), r AS (SELECT *, sum(ch) OVER {_ORDER} AS run FROM h),
+_ANGLE_SQL = f"""WITH e AS (SELECT * REPLACE (date_trunc('second', ts) AS ts, us - us % 1000000 AS us), {_ANGLE_AXES} FROM ({_TIMES})), o AS (SELECT *, x = 0 AND y = 0 AND z = 0 AS st FROM e), h AS (SELECT *, CASE WHEN lag(st) OVER {_ORDER} IS NOT DISTINCT FROM st AND row_number() OVER {_ORDER} > 1 THEN 0 ELSE 1 END AS ch FROM o), r AS (SELECT *, sum(ch) OVER {_ORDER} AS run FROM h),
 i AS (SELECT event_id, event_type, ts, us, {_FILLED} FROM (SELECT *, count(*) OVER (PARTITION BY event_type, run) AS k, {_LAGS} FROM r)),
-m AS (SELECT event_type, {_NIGHT} FROM i WHERE hour(ts) >= 23 OR hour(ts) < 4 GROUP BY 1), z AS (SELECT event_id, i.event_type, ts, us, {", ".join(f"{a} - coalesce(m{a}, 0) AS {a}" for a in "xyz")} FROM i LEFT JOIN m USING (event_type)),
+z AS (SELECT event_id, event_type, make_timestamp(us) AS ts, us, x, y, z FROM (SELECT * REPLACE (us + CAST(floor((row_number() OVER (PARTITION BY event_type, ts ORDER BY event_id) - 1) * 1000000 / count(*) OVER (PARTITION BY event_type, ts)) AS BIGINT) AS us) FROM i)),
 s AS (SELECT * REPLACE (CASE WHEN NOT bad THEN dX END AS dX, CASE WHEN NOT bad THEN dY END AS dY, CASE WHEN NOT bad THEN dZ END AS dZ) FROM ({_stepped("z", ("x", "y", "z"))})),
 g AS (SELECT *, sqrt(dX * dX + dY * dY + dZ * dZ) AS angle, sqrt(dX * dX + dY * dY + dZ * dZ) / CASE WHEN dt > 0 THEN dt END AS gyro FROM s), j AS (SELECT *, CASE WHEN dt <= 0.5 THEN abs(gyro - lag(gyro) OVER {_ORDER}) END AS jerk FROM g), a AS ({_status("j")}),
 w AS (SELECT * REPLACE ({_CLEAN}), avg(x) OVER {_FRAME} AS xm, avg(y) OVER {_FRAME} AS ym, date_trunc('second', ts) AS second FROM a),
@@ -111,8 +110,8 @@ b AS (SELECT {_KEYS}, avg(angle) AS Angle_Mean, coalesce(sum(angle), 0) AS Angle
 {", ".join(f"stddev_samp(d{n}) AS d{n}_Std, avg(abs(d{n})) AS d{n}_Mean" for n in _XYZ)}, {_mean_sd("xm", "Euler_X_lpf")}, {_mean_sd("xm", "Roll")}, {_mean_sd("ym", "Euler_Y_lpf")}, {_mean_sd("ym", "Pitch")},
 {_share("gyro > active", "Active_Fraction", "angle IS NOT NULL")}, {_share("angle <= low", "Frac_Rest", "angle IS NOT NULL")}, {_share("angle > low AND angle <= high", "Frac_Moderate", "angle IS NOT NULL")}, {_share("angle > high", "Frac_Vigorous", "angle IS NOT NULL")}, {_share("abs(xm) > lying", "Frac_Lying", "angle IS NOT NULL")} FROM w JOIN t USING (event_type) GROUP BY ALL HAVING count(angle) > 0)
 SELECT b.*, {_dominant([f"d{n}_Std" for n in _XYZ])}, z.entropy AS Spectral_Entropy_dz, z.frequency AS Dominant_Frequency_dz, y.crossings AS Zero_Crossing_Rate_dz, y.peaks AS Peak_Count_dz, q.entropy AS Spectral_Entropy_GMag, q.frequency AS Dominant_Frequency_GMag, p.crossings AS Zero_Crossing_Rate_GMag, p.peaks AS Peak_Count_GMag,
-n.cv AS Coefficient_of_Variation, n.skew AS Skewness, n.kurt AS Kurtosis, n.p25 AS Angle_P25, n.p75 AS Angle_P75, n.autocorr AS Autocorr_Lag1, q.entropy AS Spectral_Entropy, p.crossings AS Zero_Crossing_Rate, q.frequency AS Dominant_Frequency, p.peaks AS Peak_Count
-FROM b LEFT JOIN ({_waves(_OF_DZ, "dZ")}) z USING ({_KEYS}) LEFT JOIN ({_shape(_OF_DZ, "dZ")}) y USING ({_KEYS}) LEFT JOIN ({_waves(_OF_GYRO, "gyro")}) q USING ({_KEYS}) LEFT JOIN ({_shape(_OF_GYRO, "gyro")}) p USING ({_KEYS}) LEFT JOIN ({_shape(_OF_ANGLE, "angle")}) n USING ({_KEYS})"""
+n.cv AS Coefficient_of_Variation, n.skew AS Skewness, n.kurt AS Kurtosis, n.p25 AS Angle_P25, n.p75 AS Angle_P75, n.autocorr AS Autocorr_Lag1, z.entropy AS Spectral_Entropy, y.crossings AS Zero_Crossing_Rate, z.frequency AS Dominant_Frequency, y.peaks AS Peak_Count
+FROM b LEFT JOIN ({_waves(_OF_DZ, "dZ", "n")}) z USING ({_KEYS}) LEFT JOIN ({_shape(_OF_DZ, "dZ")}) y USING ({_KEYS}) LEFT JOIN ({_waves(_OF_GYRO, "gyro", "n")}) q USING ({_KEYS}) LEFT JOIN ({_shape(_OF_GYRO, "gyro")}) p USING ({_KEYS}) LEFT JOIN ({_shape(_OF_ANGLE, "angle")}) n USING ({_KEYS})"""
 
 #: Columns of the tables that are not rounded.
 _WHOLE = ("event_type", "second", "Data_Count", "Valid_Sample_Count", "Axis_Dominance", "Peak_Count", "Peak_Count_dz", "Peak_Count_GMag")
@@ -149,5 +148,5 @@ def imu_second_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def angle_second_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("value")
     axes = [F.when(v < 12, 0.0).otherwise(F.sin(v * k) * 170).alias(a) for k, a in ((7, "x"), (3, "y"), (11, "z"))]
-    rows = _rows(spark, sf_dir).select("event_id", "event_type", "ts", *axes)
+    rows = _rows(spark, sf_dir).select("event_id", "event_type", F.date_trunc("second", "ts").cast("timestamp_ntz").alias("ts"), *axes)
     return _round(movement.angle_seconds(movement.angle_samples(rows, **SERIES), **SERIES))

@@ -50,7 +50,7 @@ def clock_series(lines: DataFrame, columns: tuple[str, ...], *, separator: str =
         undated = F.raise_error(F.concat(F.lit("no date in the file name "), F.col("file"))).cast("date")
         date = F.coalesce(name_date(F.col("file")), undated)
     typed = rows.select("file", "path", "block", "row_no", clock_micros(F.col("timestamp")).alias("clock"), date.alias("date"), *(F.col(c).try_cast("double").alias(c) for c in numbers))
-    rolled = rollover_days(typed.na.drop("any", subset=["clock", "date", *numbers]), key="path", clock_us="clock", tie=["block", "row_no"], back_s=back_s, midnight=midnight)
+    rolled = rollover_days(typed.na.drop("any", subset=["clock", "date", *numbers]), key="path", clock_us="clock", tie=["block", "row_no"], back_s=back_s, midnight=midnight, chunk=F.col("block"))
     dated = F.datediff(F.col("date"), F.lit("1970-01-01").cast("date")).cast("long") + F.col("days")
     return rolled.select(name_stem(F.col("file")).alias("source"), "row_no", from_micros(dated * 86_400_000_000 + F.col("clock")).alias("ts"), *numbers)
 

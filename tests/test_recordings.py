@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from tideline.functions import times, vectors
 from tideline.operators import quality, timeline
-from tideline.operators.beats import resample_seconds
 from tideline.plans import movement
 from tideline.plans.report import markdown
 from tideline.sources import text_logs
@@ -89,14 +88,6 @@ def test_second_tables(spark, tmp_path):
     assert movement.daily_curves(out, key="source", activity="Acc_Sum", gyro="Gyro_Mean").count() == 1
 
 
-@pytest.mark.parametrize("keep", [False, True])
-def test_resampled_seconds_have_the_rate(spark, keep):
-    rows = [("a", DAY + dt.timedelta(seconds=s, microseconds=int(1e6 * i / n)), float(i)) for s, n in enumerate([480, 512, 530, 100]) for i in range(n)]
-    out = resample_seconds(spark.createDataFrame(rows, "k string, ts timestamp_ntz, v double"), key="k", ts="ts", value="v", keep_times=keep)
-    counts = {r["s"]: r["count"] for r in out.groupBy(F.floor(F.col("us") / 1_000_000).alias("s")).count().collect()}
-    assert [counts[k] for k in sorted(counts)] == [512, 512, 512, 100]
-
-
 def test_live_rates(spark, tmp_path):
     rows = [("a", DAY + dt.timedelta(seconds=s, milliseconds=100 * i)) for s, n in ((0, 3), (1, 10), (60, 1)) for i in range(n)]
     spark.createDataFrame(rows, "k string, ts timestamp_ntz").write.parquet(f"{tmp_path}/in")

@@ -42,7 +42,3 @@ def name_stem(path: Column) -> Column:
     """File name without folders and without anything from its first dot on."""
     return F.regexp_extract(path, r"([^/\\.]*)(?:\.[^/\\]*)?$", 1)
 
-
-def local_wall_time(ts: Column, zone: str) -> Column:
-    """Wall time in ``zone`` of a timestamp with zone, as TIMESTAMP_NTZ."""
-    return F.convert_timezone(F.lit("UTC"), F.lit(zone), ts.cast("timestamp_ntz"))

@@ -49,7 +49,3 @@ def scaled_adc(adc: Column) -> Column:
     """A 16-bit reading as percent of full scale, in single precision."""
     return adc.cast("float") / F.lit(32767).cast("float") * F.lit(100).cast("float")
 
-
-def either_bit(*logits: Column) -> Column:
-    """1 if the sigmoid of any logit passes one half."""
-    return reduce(lambda a, b: a.bitwiseOR(b), ((1 / (1 + F.exp(-x)) > 0.5).cast("int") for x in logits))

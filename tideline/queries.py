@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from . import second_tables
 from .functions import times, vectors
 from .operators import anomaly, beats, features, quality, timeline
-from .plans import movement
+from .plans import movement, report
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -323,5 +323,31 @@ def labelled_beats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return beats.label_beats(rows, key="ward", ts="ts", value="value", fs=160.0, size=480, hop=160)
 
 
+@register("""WITH m AS (SELECT user_id, time_bucket(INTERVAL '1 minute', ts) AS minute, sum(value) AS activity, avg(value) AS gyro FROM events WHERE event_type = 'click' GROUP BY 1, 2)
+SELECT user_id, minute, round(activity, 6) AS activity, round(gyro, 6) AS gyro FROM m QUALIFY sum(activity) OVER (PARTITION BY user_id, CAST(minute AS DATE)) <> 0""")
+def daily_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks stand in for seconds with activity."""
+    seconds = events(spark, sf_dir).filter("event_type = 'click'").withColumn("second", F.col("ts"))
+    out = movement.daily_curves(seconds, key="user_id", activity="value", gyro="value")
+    return out.select("user_id", "minute", r6("activity").alias("activity"), r6("gyro").alias("gyro"))
+
+
+@register(f"{_STATUS}, n AS (SELECT user_id, status, row_number() OVER (PARTITION BY user_id, status ORDER BY ts, event_id) AS number, ts, value, near, isolation FROM a WHERE status <> 'Normal') SELECT user_id, status, CAST(number AS INTEGER) AS number, ts, round(value, 6) AS gyro, round(near, 6) AS near, round(isolation, 6) AS isolation FROM n WHERE number <= 3")
+def activity_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = report.examples(_status(spark, sf_dir).withColumn("gyro", F.col("value")), key="user_id", ts="ts", tie="event_id")
+    return out.select("user_id", "status", "number", "ts", *(r6(c).alias(c) for c in ("gyro", "near", "isolation")))
+
+
+@register("""WITH c AS (SELECT event_type, time_bucket(INTERVAL '10 seconds', ts) AS slot, count(*) AS n FROM events GROUP BY 1, 2), e AS (SELECT event_type, min(slot) AS a, max(slot) AS b FROM c GROUP BY 1), g AS (SELECT event_type, unnest(generate_series(a, b, INTERVAL '10 seconds')) AS slot FROM e),
+s AS (SELECT event_type, slot, coalesce(n, 0) AS n FROM g LEFT JOIN c USING (event_type, slot)), m AS (SELECT event_type, date_trunc('minute', slot) AS minute, count(*) FILTER (n = 0) AS missing, count(*) FILTER (n = 1) AS too_low, count(*) FILTER (n > 2) AS too_high FROM s GROUP BY 1, 2),
+b AS (SELECT *, date_trunc('hour', minute) AS hour, count(*) OVER (PARTITION BY event_type, date_trunc('hour', minute)) AS k FROM m WHERE too_low > 0 OR too_high > 0)
+SELECT event_type, CAST(hour AS TIMESTAMP) AS start, true AS whole_hour, CAST(sum(missing) AS BIGINT) AS missing, CAST(sum(too_low) AS BIGINT) AS too_low, CAST(sum(too_high) AS BIGINT) AS too_high FROM b WHERE k = 60 GROUP BY 1, 2 UNION ALL SELECT event_type, CAST(minute AS TIMESTAMP), false, missing, too_low, too_high FROM b WHERE k < 60""")
+def abnormal_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slots of ten seconds, two rows being normal."""
+    slots = report.sampling(events(spark, sf_dir), key="event_type", ts="ts", width="10 seconds", low=2, high=2)
+    return report.abnormal_minutes(slots, key="event_type")
+
+
+register(second_tables.COUNTS_SQL)(second_tables.angle_cleaning_figures)
 register(second_tables.IMU_SQL)(second_tables.imu_second_features)
 register(second_tables.ANGLE_SQL)(second_tables.angle_second_features)

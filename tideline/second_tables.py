@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import times
+from .operators.figures import Figures
 from .plans import movement
 
 SPEED = 8640
@@ -113,6 +114,13 @@ SELECT b.*, {_dominant([f"d{n}_Std" for n in _XYZ])}, z.entropy AS Spectral_Entr
 n.cv AS Coefficient_of_Variation, n.skew AS Skewness, n.kurt AS Kurtosis, n.p25 AS Angle_P25, n.p75 AS Angle_P75, n.autocorr AS Autocorr_Lag1, z.entropy AS Spectral_Entropy, y.crossings AS Zero_Crossing_Rate, z.frequency AS Dominant_Frequency, y.peaks AS Peak_Count
 FROM b LEFT JOIN ({_waves(_OF_DZ, "dZ", "n")}) z USING ({_KEYS}) LEFT JOIN ({_shape(_OF_DZ, "dZ")}) y USING ({_KEYS}) LEFT JOIN ({_waves(_OF_GYRO, "gyro", "n")}) q USING ({_KEYS}) LEFT JOIN ({_shape(_OF_GYRO, "gyro")}) p USING ({_KEYS}) LEFT JOIN ({_shape(_OF_ANGLE, "angle")}) n USING ({_KEYS})"""
 
+#: The steps of the angle job up to the status of its samples.
+_ANGLE_STEPS = _ANGLE_SQL[: _ANGLE_SQL.index("w AS (SELECT * REPLACE")].rstrip().rstrip(",")
+COUNTS_SQL = f"""{_ANGLE_STEPS} SELECT 'read' AS step, 'rows' AS figure, count(*) AS value FROM e UNION ALL SELECT 'read', 'incomplete', count(*) FILTER (ts IS NULL OR x IS NULL OR y IS NULL OR z IS NULL) FROM e
+UNION ALL SELECT 'zeros', 'filled', count(*) FILTER (st AND k >= 3) FROM (SELECT *, count(*) OVER (PARTITION BY event_type, run) AS k FROM r)
+UNION ALL SELECT 'times', 'kept', count(*) FROM s UNION ALL SELECT 'times', 'gaps', count(*) FILTER (dt > 3) FROM s
+UNION ALL SELECT 'activity', 'real', count(*) FILTER (status = 'Real_Activity') FROM a UNION ALL SELECT 'activity', 'artifact', count(*) FILTER (status = 'Artifact') FROM a"""
+
 #: Columns of the tables that are not rounded.
 _WHOLE = ("event_type", "second", "Data_Count", "Valid_Sample_Count", "Axis_Dominance", "Peak_Count", "Peak_Count_dz", "Peak_Count_GMag")
 
@@ -145,8 +153,18 @@ def imu_second_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(movement.imu_seconds(movement.imu_samples(rows, **SERIES), **SERIES))
 
 
-def angle_second_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _angle_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("value")
     axes = [F.when(v < 12, 0.0).otherwise(F.sin(v * k) * 170).alias(a) for k, a in ((7, "x"), (3, "y"), (11, "z"))]
-    rows = _rows(spark, sf_dir).select("event_id", "event_type", F.date_trunc("second", "ts").cast("timestamp_ntz").alias("ts"), *axes)
-    return _round(movement.angle_seconds(movement.angle_samples(rows, **SERIES), **SERIES))
+    return _rows(spark, sf_dir).select("event_id", "event_type", F.date_trunc("second", "ts").cast("timestamp_ntz").alias("ts"), *axes)
+
+
+def angle_second_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(movement.angle_seconds(movement.angle_samples(_angle_rows(spark, sf_dir), **SERIES), **SERIES))
+
+
+def angle_cleaning_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the angle job counts beside its rows."""
+    figures = Figures()
+    movement.angle_samples(_angle_rows(spark, sf_dir), figures=figures, **SERIES)
+    return figures.table(spark)

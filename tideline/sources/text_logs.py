@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.times import clock_micros, from_micros, name_date, name_stem
+from ..functions.vectors import scaled_adc
 from ..operators.timeline import rollover_days
 
 ANGLE = ("timestamp", "x", "y", "z")
@@ -64,11 +65,14 @@ def read_imu(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_ecg(spark: SparkSession, path: str) -> DataFrame:
-    """``source, row_no, ts, adc`` of both raw layouts, a name that fits both being of the second; files of neither are refused by not being read."""
+    """``source, row_no, ts, adc, data`` of both raw layouts, a name that fits both being of the second; files of neither are refused by not being read.
+
+    ``data`` is the reading in percent of full scale.
+    """
     lines = file_lines(spark, path)
     raw = clock_series(named(lines, starts="Raw", without="BMD"), ("timestamp", "adc"))
     bmd = clock_series(named(lines, contains="BMD"), ("timestamp", "adc"), separator=",", header=1)
-    return raw.unionByName(bmd)
+    return raw.unionByName(bmd).withColumn("data", scaled_adc(F.col("adc")))
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
@@ -87,8 +91,41 @@ def file_listing(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("folder"), F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"), "path")
 
 
+def listed(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
+    """``file_listing`` and what is wrong with the root: ``missing``, ``not_a_folder``, ``empty`` (no folder in it) or nothing."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    none = spark.createDataFrame([], "folder string, file_name string, path string")
+    if not fs.exists(hadoop):
+        return none, "missing"
+    if not fs.getFileStatus(hadoop).isDirectory():
+        return none, "not_a_folder"
+    if not any(s.isDirectory() for s in fs.listStatus(hadoop)):
+        return none, "empty"
+    return file_listing(spark, path), ""
+
+
+#: Names under which a cached signal is looked for before its second column is taken.
+SIGNAL_NAMES = ("data", "ADC")
+
+
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """``source, ts, data`` of cached signals (``...cache.csv``), whatever their headers, in one scan.
+
+    Each file's header says where ``timestamp`` stands and where the signal does: under ``data``, else ``ADC``, else
+    in the second column.  A file without a ``timestamp`` column stops the job with its name; times or values
+    that cannot be read are null.
+    """
+    lines = file_lines(spark, path).filter(F.col("file").endswith("cache.csv"))
+    heads = lines.filter("block = 0").groupBy("path").agg(F.min("row_no").alias("head"), F.min_by("line", "row_no").alias("names"))  # a row per file
+    names = F.transform(F.split(F.regexp_replace("names", "^\ufeff", ""), ","), F.trim)
+    place = lambda n: F.nullif(F.array_position(names, n), F.lit(0)) - 1
+    heads = heads.select("path", "head", place("timestamp").alias("_t"), F.coalesce(*map(place, SIGNAL_NAMES), F.lit(1)).alias("_d"))
+    rows = lines.join(heads, "path").filter(F.col("row_no") != F.col("head"))
+    untimed = F.raise_error(F.concat(F.lit("no timestamp column in "), F.col("file"))).cast("long")
+    cut = F.split("line", ",")
+    time = F.get(cut, F.coalesce("_t", untimed).cast("int"))
+    return rows.select(F.regexp_replace(name_stem(F.col("file")), "cache$", "").alias("source"), F.try_to_timestamp(F.trim(time)).cast("timestamp_ntz").alias("ts"), F.get(cut, F.col("_d").cast("int")).try_cast("double").alias("data"))
 
 
 def write_series(df: DataFrame, path: str, *, ts: str = "ts") -> None:

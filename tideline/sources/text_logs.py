@@ -118,7 +118,7 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame:
     """
     lines = file_lines(spark, path).filter(F.col("file").endswith("cache.csv"))
     heads = lines.filter("block = 0").groupBy("path").agg(F.min("row_no").alias("head"), F.min_by("line", "row_no").alias("names"))  # a row per file
-    names = F.transform(F.split(F.regexp_replace("names", "^\ufeff", ""), ","), F.trim)
+    names = F.transform(F.split(F.regexp_replace("names", "^\ufeff", ""), ","), lambda x: F.trim(x))
     place = lambda n: F.nullif(F.array_position(names, n), F.lit(0)) - 1
     heads = heads.select("path", "head", place("timestamp").alias("_t"), F.coalesce(*map(place, SIGNAL_NAMES), F.lit(1)).alias("_d"))
     rows = lines.join(heads, "path").filter(F.col("row_no") != F.col("head"))

@@ -7,9 +7,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tideline.functions import times
 from tideline.operators.beats import IntervalCorrector
 from tideline.operators.figures import Figures
-from tideline.plans import jobs, movement, outputs, report
+from tideline.plans import jobs, movement, outputs, report, tasks
 from tideline.scratch import shared_dir
 from tideline.sources import text_logs
 
@@ -137,6 +138,37 @@ def test_readings_are_scaled(spark, tmp_path):
     assert [round(r.data, 3) for r in text_logs.read_ecg(spark, str(tmp_path)).orderBy("ts").collect()] == [100.0, -50.002]
 
 
+def test_wall_times(spark):
+    texts = ["2025-01-02 10:00:00.5", "2025-01-02T10:00:00+02:00", "2025-01-02 10:00:00Z", "never"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", times.wall_time(F.col("t"), "Asia/Shanghai").alias("w")).orderBy("i").collect()
+    assert [r.w for r in got] == [dt.datetime(2025, 1, 2, 10, 0, 0, 500_000), dt.datetime(2025, 1, 2, 16), dt.datetime(2025, 1, 2, 18), None]
+
+
+@pytest.mark.parametrize("text,algorithm,batch", [(None, "original_timestamps", 2), ("{", "original_timestamps", 2), ("[1]", "original_timestamps", 2), ('{"origin_resample": false, "batch_size": 5}', "uniform_grid", 5), ('{"interpolation_algorithm": "other"}', "original_timestamps", 2), ('{"origin_resample": false, "interpolation_algorithm": "original_timestamps"}', "original_timestamps", 2)])
+def test_settings(text, algorithm, batch):
+    got = tasks.settings(text)
+    assert got["interpolation_algorithm"] == algorithm and got["batch_size"] == batch and got["correct"] is True
+
+
+def test_tasks(spark, tmp_path):
+    root = tmp_path / "in" / "20250102_A1"
+    root.mkdir(parents=True)
+    clock = lambda i, hz: f"10:{i // hz // 60:02d}:{i // hz % 60:02d}.{i % hz * 1000 // hz:03d}"
+    (root / "B1_IMU_2025-01-02.csv").write_text("h\n" + "".join(f"{clock(i, 10)},{i % 3},{i % 5},1,{i % 7},2,3\n" for i in range(200)))
+    (root / "Angle_2025-01-02.txt").write_text("".join(f"{clock(i, 10)} {i % 7} {i % 5} 1 0\n" for i in range(200)))
+    (root / "Raw_2025-01-02.txt").write_text("".join(f"{clock(i, 500)} {1000 * (i % 400 == 200)}\n" for i in range(2500)))
+    task = lambda kind, **more: tasks.run_task(spark, {"task_type": kind, "source_dir": str(tmp_path / "in"), "save_path": f"{tmp_path}/{kind}", "output_dir": f"{tmp_path}/{kind}", "selected_files": [str(root)], "language": "en"} | more, **({"size": 1200, "hop": 400, "clean": False} if kind == "convert" else {}))
+    for kind in ("move_old", "move_new", "folder_inspect", "convert", "cache_only"):
+        task(kind, config={"origin_resample": False, "correct": False})
+    count = lambda kind, name: outputs.published(spark, f"{tmp_path}/{kind}", name).count()
+    assert count("move_old", "seconds") == 20 and count("move_new", "seconds") == 20 and count("folder_inspect", "messages") > 0
+    assert count("convert", "signal") == 5 * 512 and count("convert", "labels") > 2 and count("cache_only", "cache") == 5 * 512
+    task("folder_inspect", source_dir=str(tmp_path / "none"))
+    assert outputs.published(spark, f"{tmp_path}/folder_inspect", "messages").first().finding == "root_missing"
+    with pytest.raises(ValueError):
+        task("other")
+
+
 def test_scratch_on_one_machine_is_refused_on_a_cluster():
     class Conf(dict):
         def get(self, k, default=None):

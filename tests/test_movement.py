@@ -84,6 +84,8 @@ def test_chunks_change_nothing(spark, chunk_s):
     assert same(lambda c: timeline.gaps(df, **at, longer_than=20, **c))
     assert same(lambda c: timeline.runs(df, F.col("v") == 0, **at, **c))
     assert same(lambda c: timeline.fill_joint_zeros(df, ["v"], **at, least=2, **c))
+    holes = df.withColumn("v", F.when(F.col("v") > 1, F.col("v")))
+    assert same(lambda c: timeline.filled(holes, ["v"], **at, **c))
     assert same(lambda c: timeline.centred_mean(df, ["v"], key="k", ts="ts", half_us=9_000_000, **c))
     thresholds = df.select("k").distinct().withColumns({"active_base": F.lit(0.5), "suspicious": F.lit(1.5)})
     assert same(lambda c: anomaly.activity_status(df, "v", thresholds, key="k", series="k", ts="ts", tie="i", ratio=1.5, **c))

@@ -42,3 +42,10 @@ def name_stem(path: Column) -> Column:
     """File name without folders and without anything from its first dot on."""
     return F.regexp_extract(path, r"([^/\\.]*)(?:\.[^/\\]*)?$", 1)
 
+
+def wall_time(text: Column, zone: str | None = None) -> Column:
+    """A time as text to a zone-free timestamp: one with an offset is brought to ``zone`` (the session's by default), others stand as they are; null if malformed."""
+    there = F.current_timezone() if zone is None else F.lit(zone)
+    offset = text.rlike(r"(?:Z|[+-]\d{2}:?\d{2})\s*$")
+    read = F.try_to_timestamp(text)
+    return F.when(offset, F.convert_timezone(F.current_timezone(), there, read.cast("timestamp_ntz"))).otherwise(read.cast("timestamp_ntz"))

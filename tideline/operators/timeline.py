@@ -99,6 +99,30 @@ def centred_mean(df: DataFrame, values: list[str], *, key: str, ts: str, half_us
     return found.select(*df.columns, *(F.col(f"_f{k}").alias(f"{v}_mean") for k, v in enumerate(values)), F.col(f"_f{len(values)}").alias("rows_in_frame"))
 
 
+def filled(df: DataFrame, values: list[str], *, key: str, ts: str, tie: str, chunk_us: int = HOUR) -> DataFrame:
+    """Nulls of ``values`` become the next value of the series, and after its last one the last."""
+    rows = df.withColumn("_chunk", time_chunk(ts, chunk_us))
+    w, place = Window.partitionBy(key, "_chunk").orderBy(ts, tie), F.struct(ts, tie)
+    ahead, back = (w.rowsBetween(0, Window.unboundedFollowing), w.rowsBetween(Window.unboundedPreceding, 0))
+    inside = rows.select("*", *(F.first(v, ignorenulls=True).over(ahead).alias(f"_a_{v}") for v in values), *(F.last(v, ignorenulls=True).over(back).alias(f"_b_{v}") for v in values))
+    held = lambda v: F.when(F.col(v).isNotNull(), place)
+    ends = rows.groupBy(key, "_chunk").agg(*(F.min_by(v, held(v)).alias(f"_first_{v}") for v in values), *(F.max_by(v, held(v)).alias(f"_last_{v}") for v in values))
+    along = Window.partitionBy(key).orderBy(F.asc_nulls_first("_chunk"))
+    later, earlier = along.rowsBetween(1, Window.unboundedFollowing), along.rowsBetween(Window.unboundedPreceding, -1)
+    around = ends.select(key, "_chunk", *(F.first(f"_first_{v}", ignorenulls=True).over(later).alias(f"_later_{v}") for v in values), *(F.last(f"_last_{v}", ignorenulls=True).over(earlier).alias(f"_earlier_{v}") for v in values))
+    joined = null_safe(inside, around, [key, "_chunk"], "left")
+    return joined.select(*(F.coalesce(f"_a_{c}", f"_later_{c}", f"_b_{c}", f"_earlier_{c}").alias(c) if c in values else F.col(c) for c in df.columns))
+
+
+def thin_slots(df: DataFrame, *, ts: str, width: str, least: int, key: str | None = None) -> DataFrame:
+    """``[key,] slot, n, thin`` of a series' slots but the first and the last, which it fills in part only; ``thin`` are those of fewer than ``least`` rows."""
+    keys = [key] if key else []
+    slots = dense_counts(df, ts=ts, width=width, key=key)
+    ends = slots.groupBy(*keys).agg(F.min("slot").alias("_a"), F.max("slot").alias("_b"))
+    inner = null_safe(slots, ends, keys, "inner") if keys else slots.join(F.broadcast(ends), F.lit(True))  # one row
+    return inner.filter("slot > _a and slot < _b").select(*keys, "slot", "n", (F.col("n") < least).alias("thin"))
+
+
 def rollover_days(df: DataFrame, *, key: str | list[str], clock_us: str, tie: str | list[str], back_s: float = 0.0, midnight: bool = False, chunk: Column | None = None) -> DataFrame:
     """``days``: midnights passed since the series began, from a clock that starts over.
 

@@ -348,6 +348,18 @@ def abnormal_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.abnormal_minutes(slots, key="event_type")
 
 
+@register(f"""WITH e AS (SELECT *, CASE WHEN value > 30 THEN value END AS v FROM events) SELECT event_id, round(coalesce(first_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), last_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 6) AS v FROM e""")
+def filled_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = events(spark, sf_dir).withColumn("v", F.when(F.col("value") > 30, F.col("value")))
+    return timeline.filled(rows, ["v"], **SERIES, chunk_us=86_400_000_000).select("event_id", r6("v").alias("v"))
+
+
+@register("""WITH c AS (SELECT event_type, time_bucket(INTERVAL '10 minutes', ts) AS slot, count(*) AS n FROM events GROUP BY 1, 2), e AS (SELECT event_type, min(slot) AS a, max(slot) AS b FROM c GROUP BY 1), g AS (SELECT event_type, a, b, unnest(generate_series(a, b, INTERVAL '10 minutes')) AS slot FROM e)
+SELECT g.event_type, g.slot, coalesce(n, 0) AS n, coalesce(n, 0) < 2 AS thin FROM g LEFT JOIN c USING (event_type, slot) WHERE g.slot > a AND g.slot < b""")
+def thin_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeline.thin_slots(events(spark, sf_dir), ts="ts", width="10 minutes", least=2, key="event_type")
+
+
 register(second_tables.COUNTS_SQL)(second_tables.angle_cleaning_figures)
 register(second_tables.IMU_SQL)(second_tables.imu_second_features)
 register(second_tables.ANGLE_SQL)(second_tables.angle_second_features)

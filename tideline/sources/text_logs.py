@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.times import clock_micros, from_micros, name_date, name_stem
+from ..functions.times import clock_micros, from_micros, name_date, name_stem, wall_time
 from ..functions.vectors import scaled_adc
 from ..operators.timeline import rollover_days
 
@@ -75,13 +75,13 @@ def read_ecg(spark: SparkSession, path: str) -> DataFrame:
     return raw.unionByName(bmd).withColumn("data", scaled_adc(F.col("adc")))
 
 
-def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    """``source, ts, label`` of beats: 1 in files with a header, 2 in files without; times may be written as b'...'."""
+def read_labels(spark: SparkSession, path: str, zone: str | None = None) -> DataFrame:
+    """``source, ts, label`` of beats: 1 in files with a header, 2 in files without; times may be written as b'...', those with an offset become wall times of ``zone``."""
     lines = named(file_lines(spark, path, recursive=False)).filter(F.lower("file").endswith(".csv") & F.col("file").rlike("Raw|BMD"))
     headed = lines.groupBy("path").agg(F.bool_or(F.col("line").contains("timestamp") & F.col("line").contains("label")).alias("headed"))
     cut = F.split("line", ",")
     time = F.regexp_replace(F.trim(F.get(cut, F.lit(0))), r"^b'(.*)'$", "$1")
-    rows = lines.join(headed, "path").select(name_stem(F.col("file")).alias("source"), F.try_to_timestamp(time).cast("timestamp_ntz").alias("ts"), F.get(cut, F.lit(1)).try_cast("int").alias("label"), "headed")
+    rows = lines.join(headed, "path").select(name_stem(F.col("file")).alias("source"), wall_time(time, zone).alias("ts"), F.get(cut, F.lit(1)).try_cast("int").alias("label"), "headed")
     return rows.filter(F.col("ts").isNotNull() & (F.col("label") == F.when(F.col("headed"), 1).otherwise(2))).select("source", "ts", "label")
 
 

@@ -125,6 +125,6 @@ def test_exact_quantiles(spark, few):
 def test_sample_entropy_by_cells(spark):
     rng = np.random.default_rng(2)
     parts = {"a": rng.normal(size=120), "b": np.round(rng.normal(size=90)), "c": np.ones(30), "d": rng.normal(size=3)}
-    df = spark.createDataFrame([(k, i, float(v)) for k, x in parts.items() for i, v in enumerate(x)] + [("a", 500, None)], "k string, i int, v double")
-    got = {r.k: r.sample_entropy for r in features.sample_entropy_of_any_size(df, "v", slot=["k"], ts="i", tie="i").collect()}
+    df = spark.createDataFrame([(k, NOON + dt.timedelta(seconds=i), i, float(v)) for k, x in parts.items() for i, v in enumerate(x)] + [("a", NOON, 500, None)], "k string, ts timestamp_ntz, i int, v double")
+    got = {r.k: r.sample_entropy for r in features.sample_entropy_of_any_size(df, "v", slot=["k"], ts="ts", tie="i", chunk_us=25_000_000).collect()}
     assert got == pytest.approx({k: features.sample_entropy(x[None])[0] for k, x in parts.items()})

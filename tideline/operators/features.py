@@ -1,6 +1,6 @@
 """Per-slot features: distribution statistics natively, spectra and sample entropy by numpy over batches of slots.
 
-A slot is a second of a recording, some ten samples; only ``sample_entropy_of_any_size`` takes slots without a bound.
+A slot is a second of a recording, some ten samples; ``distribution`` and ``sample_entropy_of_any_size`` take slots without a bound.
 """
 
 from __future__ import annotations
@@ -9,12 +9,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .scans import null_safe
-from .timeline import order
+from ..scratch import materialize
+from .quantiles import exact_quantiles
+from .scans import neighbours, null_safe, running_sums
+from .timeline import HOUR, time_chunk
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -26,24 +28,28 @@ def correlation(x: Column, y: Column) -> Column:
     return _ratio(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
-def distribution(df: DataFrame, value: str, *, slot: list[str], ts: str, tie: str) -> DataFrame:
-    """Moments, quantiles, zero crossings, peaks and autocorrelation of each slot; one shuffle on the slot."""
-    w, x = order(slot, ts, tie), F.col(value)
-    top = F.max(value).over(Window.partitionBy(*slot))
-    before, after = F.lag(value).over(w), F.lead(value).over(w)
-    rows = df.select(*slot, value, before.alias("_b"), F.coalesce((x > before) & (x > after) & (x > 0.5 * top), F.lit(False)).cast("long").alias("_peak"), F.abs(F.signum(x) - F.signum(before)).alias("_turn"))
+def distribution(df: DataFrame, value: str, *, slot: list[str], ts: str, tie: str, chunk_us: int = HOUR) -> DataFrame:
+    """Moments, quantiles, zero crossings, peaks and autocorrelation of slots of any size.
+
+    Rows find their neighbours chunk by chunk, quantiles are exact by selection, and the rest are sums.
+    """
+    x = F.col(value)
+    near = neighbours(df.select(*slot, ts, tie, value), {"x": x}, key=slot, chunk=time_chunk(ts, chunk_us), by=[ts, tie])
+    tops = null_safe(near, df.groupBy(*slot).agg(F.max(value).alias("_top")), slot, "left")
+    before, after = F.col("before_x"), F.col("after_x")
+    rows = tops.select(*slot, value, before.alias("_b"), F.coalesce((x > before) & (x > after) & (x > 0.5 * F.col("_top")), F.lit(False)).cast("long").alias("_peak"), F.abs(F.signum(x) - F.signum(before)).alias("_turn"))
     n, mean, sd = F.count(value).cast("double"), F.avg(value), F.stddev_pop(value)
     g1, g2 = F.skewness(value), F.kurtosis(value)
     skew = F.when(n >= 3, g1 * F.sqrt(n * (n - 1)) / F.greatest(n - 2, F.lit(1.0)))
     kurt = F.when(n >= 4, (n - 1) / F.greatest((n - 2) * (n - 3), F.lit(1.0)) * ((n + 1) * g2 + 6))
     pair = F.col("_b").isNotNull()
     own, last = F.when(pair, x), F.when(pair, F.col("_b"))
-    return rows.groupBy(*slot).agg(
+    sums = rows.groupBy(*slot).agg(
         F.count(value).alias("n"), mean.alias("mean"), F.coalesce(F.sum(value), F.lit(0.0)).alias("total"), F.max(value).alias("high"), F.min(value).alias("low"), F.stddev_samp(value).alias("sd"),
-        F.coalesce(_ratio(sd, mean), F.lit(0.0)).alias("cv"), F.coalesce(skew, F.lit(0.0)).alias("skew"), F.coalesce(kurt, F.lit(0.0)).alias("kurt"),
-        F.percentile(value, F.lit(0.25)).alias("p25"), F.percentile(value, F.lit(0.75)).alias("p75"), F.sqrt(F.avg(x * x)).alias("rms"),
+        F.coalesce(_ratio(sd, mean), F.lit(0.0)).alias("cv"), F.coalesce(skew, F.lit(0.0)).alias("skew"), F.coalesce(kurt, F.lit(0.0)).alias("kurt"), F.sqrt(F.avg(x * x)).alias("rms"),
         (F.coalesce(F.sum("_turn"), F.lit(0.0)) / 2).alias("crossings"), F.sum("_peak").alias("peaks"), F.when(n >= 2, correlation(own, last)).otherwise(F.when(n > 0, F.lit(0.0))).alias("autocorr"),
     )
+    return null_safe(sums, exact_quantiles(df, {"p25": (x, 0.25), "p75": (x, 0.75)}, keys=slot), slot, "left")
 
 
 def spectrum(x: np.ndarray, rate: float, edges: tuple[float, float] = (1.0, 4.0)) -> np.ndarray:
@@ -151,18 +157,22 @@ def spectra(df: DataFrame, value: str, *, slot: list[str], ts: str, tie: str, ra
     return with_shapes(slots, {"": ("_x", rate, kinds)})
 
 
-def sample_entropy_of_any_size(df: DataFrame, value: str, *, slot: list[str], ts: str, tie: str, r: float = 0.2) -> DataFrame:
+def sample_entropy_of_any_size(df: DataFrame, value: str, *, slot: list[str], ts: str, tie: str, r: float = 0.2, chunk_us: int = HOUR) -> DataFrame:
     """``sample_entropy`` of slots without a bound, from joins alone.
 
     Templates lie in cells as wide as the radius, by their first two values; only templates of neighbouring cells
     are compared, and the matches are counted where they arise.
     """
-    w = order(slot, ts, tie)
-    x = [F.col(value).cast("double"), F.lead(value, 1).over(w).cast("double"), F.lead(value, 2).over(w).cast("double")]
-    rows = df.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(*slot, F.row_number().over(w).alias("i"), *(c.alias(f"x{k}") for k, c in enumerate(x)))
-    radius = rows.groupBy(*slot).agg((r * F.stddev_pop("x0")).alias("r"), F.count("*").alias("n"))
+    held = df.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(*slot, ts, tie, F.col(value).cast("double").alias("x0"))
+    along = {"key": slot, "chunk": time_chunk(ts, chunk_us)}
+    rows = running_sums(held, {"i": F.lit(1).cast("long")}, by=[F.col(ts), F.col(tie)], **along)
+    # a template's second and third value are those of the places after it
+    ahead = lambda k: rows.select(*slot, (F.col("i") - k).alias("i"), F.col("x0").alias(f"x{k}"))
+    radius = held.groupBy(*slot).agg((r * F.stddev_pop("x0")).alias("r"), F.count("*").alias("n"))
     cell = lambda c: F.floor(F.col(c) / F.col("r"))
-    placed = null_safe(rows, radius.filter("n >= 4 and r > 0"), slot, "inner").filter("x1 is not null").select(*slot, "i", "r", "x0", "x1", "x2", cell("x0").alias("c0"), cell("x1").alias("c1"))
+    whole = null_safe(null_safe(rows, ahead(1), [*slot, "i"], "inner"), ahead(2), [*slot, "i"], "left")
+    placed = null_safe(whole, radius.filter("n >= 4 and r > 0"), slot, "inner").select(*slot, "i", "r", "x0", "x1", "x2", cell("x0").alias("c0"), cell("x1").alias("c1"))
+    placed = materialize(placed, "templates")  # both sides of the join
     near = [F.struct((F.col("c0") + a).alias("c0"), (F.col("c1") + b).alias("c1")) for a in (-1, 0, 1) for b in (-1, 0, 1)]
     other = placed.select(*slot, F.col("i").alias("j"), *(F.col(f"x{k}").alias(f"y{k}") for k in range(3)), F.inline(F.array(*near)))
     close = lambda k: F.abs(F.col(f"x{k}") - F.col(f"y{k}")) < F.col("r")

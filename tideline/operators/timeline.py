@@ -142,19 +142,21 @@ def rollover_days(df: DataFrame, *, key: str | list[str], clock_us: str, tie: st
     return summed.select(*df.columns, F.col("days").cast("int").alias("days"), "crossed")
 
 
-def rollover_triggers(df: DataFrame, *, key: str, clock_us: str, tie: str | list[str], back_s: float = 0.0, midnight: bool = False, shown: int = 10) -> DataFrame:
-    """The first ``shown`` rows of each series that count as a midnight: ``key, number, before_us, clock_us, rule``, with the row's place in the series."""
-    w = order(key, *([tie] if isinstance(tie, str) else tie))
-    rolled = rollover_days(df, key=key, clock_us=clock_us, tie=tie, back_s=back_s, midnight=midnight)
-    seen = rolled.withColumns({"_before": F.lag(clock_us).over(w), "_row": F.row_number().over(w) - 1})
-    natural = (F.col("_before") >= 84_600_000_000) & (F.col(clock_us) <= 1_800_000_000)
-    rule = F.when(F.lit(midnight) & natural & (F.col(clock_us) - F.col("_before") < -1_800_000_000), "midnight").otherwise("long_step")
-    return seen.filter(F.col("crossed") & (F.col("days") <= shown)).select(key, F.col("days").alias("number"), F.col("_row").alias("row"), F.col("_before").alias("before_us"), F.col(clock_us).alias("clock_us"), rule.alias("rule"))
-
-
-def rollover_log(df: DataFrame, *, key: str, clock_us: str, tie: str | list[str], back_s: float = 0.0, midnight: bool = False) -> DataFrame:
+def rollover_triggers(df: DataFrame, *, key: str, clock_us: str, tie: str | list[str], back_s: float = 0.0, midnight: bool = False, chunk: Column | None = None, shown: int = 10) -> DataFrame:
+    """The first ``shown`` rows of each series that count as a midnight: ``key, number, row, before_us, clock_us, rule``; ``row`` is the place in the series, from 0."""
+    by, chunk = [tie] if isinstance(tie, str) else tie, F.lit(0) if chunk is None else chunk
+    rolled = rollover_days(df, key=key, clock_us=clock_us, tie=tie, back_s=back_s, midnight=midnight, chunk=chunk)
+    placed = running_sums(rolled, {"_row": F.lit(1)}, key=[key], chunk=chunk, by=[F.col(c) for c in by])
+    seen = neighbours(placed, {"clock": F.col(clock_us)}, key=[key], chunk=chunk, by=by, after=False)
+    before = F.col("before_clock")
+    natural = F.lit(midnight) & (before >= 84_600_000_000) & (F.col(clock_us) <= 1_800_000_000) & (F.col(clock_us) - before < -1_800_000_000)
+    named = [F.col("days").alias("number"), (F.col("_row") - 1).cast("int").alias("row"), before.alias("before_us"), F.col(clock_us).alias("clock_us"), F.when(natural, "midnight").otherwise("long_step").alias("rule")]
+    return seen.filter(F.col("crossed") & (F.col("days") <= shown)).select(key, *named)
+
+
+def rollover_log(df: DataFrame, *, key: str, clock_us: str, tie: str | list[str], back_s: float = 0.0, midnight: bool = False, chunk: Column | None = None) -> DataFrame:
     """Per series ``rows, crossings, first_us, last_us`` and ``odd``: a file of one day passes one midnight at most."""
-    rolled = rollover_days(df, key=key, clock_us=clock_us, tie=tie, back_s=back_s, midnight=midnight)
+    rolled = rollover_days(df, key=key, clock_us=clock_us, tie=tie, back_s=back_s, midnight=midnight, chunk=chunk)
     place = F.struct(*([tie] if isinstance(tie, str) else tie))
     counted = rolled.groupBy(key).agg(F.count("*").alias("rows"), F.count_if("crossed").alias("crossings"), F.min_by(clock_us, place).alias("first_us"), F.max_by(clock_us, place).alias("last_us"))
     return counted.withColumn("odd", F.col("crossings") >= 2)
@@ -171,6 +173,8 @@ def dense_counts(df: DataFrame, *, ts: str, width: str, key: str | None = None,
     step = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', TIMESTAMP_NTZ'1970-01-01 00:00:00' + interval {width})")
     spans = ends.select(*keys, micros("a").alias("_a"), step.alias("_step"), F.floor((micros("b") - micros("a")) / step).cast("long").alias("_last"))
     chunks = spans.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"), F.lit(chunk).cast("long"))).alias("_from"))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks = chunks.repartition(tasks, *keys, "_from")  # else a series' slots would all come out of one row's task
     places = chunks.select("*", F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + (chunk - 1), F.col("_last")))).alias("_k"))
     grid = places.select(*keys, from_micros(F.col("_a") + F.col("_k") * F.col("_step")).alias("slot"))
     return grid.join(counts, [*keys, "slot"], "left").select(*keys, "slot", F.coalesce("n", F.lit(0)).cast("long").alias("n"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import second_tables
 from .functions import times, vectors
-from .operators import anomaly, beats, features, quality, timeline
+from .operators import anomaly, beats, features, quality, quantiles, signals, timeline
 from .plans import movement, report
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,7 +80,7 @@ def abnormal_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(f"WITH d AS (SELECT user_id, lag(ts) OVER {_W} AS gap_start, ts AS gap_end, ({_US} - lag({_US}) OVER {_W}) / 1e6 AS gap_s FROM events) SELECT user_id, gap_start, gap_end, round(gap_s, 6) AS gap_s FROM d WHERE gap_s > 86400")
 def gap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return timeline.gaps(events(spark, sf_dir), **SERIES, longer_than=86_400).withColumn("gap_s", r6("gap_s"))
+    return timeline.gaps(events(spark, sf_dir), **SERIES, longer_than=86_400, chunk_us=86_400_000_000).withColumn("gap_s", r6("gap_s"))
 
 
 @register(f"SELECT event_id, round(avg(value) OVER f, 6) AS value_mean, count(*) OVER f AS rows_in_frame FROM events WINDOW f AS (PARTITION BY user_id ORDER BY {_US} RANGE BETWEEN 43199999999 PRECEDING AND 43200000000 FOLLOWING)")
@@ -95,7 +95,7 @@ r AS (SELECT *, sum(ch) OVER {_W} AS run FROM c)"""
 
 @register(f"{_RUNS} SELECT event_id, CAST(run AS BIGINT) AS run, count(*) OVER (PARTITION BY user_id, run) AS run_length FROM r")
 def run_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return timeline.runs(events(spark, sf_dir), F.col("event_type") == "error", **SERIES).select("event_id", "run", "run_length")
+    return timeline.runs(events(spark, sf_dir), F.col("event_type") == "error", **SERIES, chunk_us=86_400_000_000).select("event_id", "run", "run_length")
 
 
 @register(f"""WITH e AS (SELECT *, CASE WHEN value > 60 THEN 0.0 ELSE value END AS v FROM events), a AS (SELECT *, v = 0 AS st FROM e), c AS (SELECT *, CASE WHEN lag(st) OVER {_W} IS NOT DISTINCT FROM st AND row_number() OVER {_W} > 1 THEN 0 ELSE 1 END AS ch FROM a),
@@ -103,7 +103,7 @@ r AS (SELECT *, sum(ch) OVER {_W} AS run FROM c), l AS (SELECT *, count(*) OVER
 SELECT event_id, round(CASE WHEN st AND k >= 3 THEN (coalesce(b, n) + coalesce(n, b)) / 2 ELSE v END, 6) AS v, st AND k >= 3 AS filled FROM l""")
 def zero_runs_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir).withColumn("v", F.when(F.col("value") > 60, 0.0).otherwise(F.col("value")))
-    return timeline.fill_joint_zeros(rows, ["v"], **SERIES).select("event_id", r6("v").alias("v"), "filled")
+    return timeline.fill_joint_zeros(rows, ["v"], **SERIES, chunk_us=86_400_000_000).select("event_id", r6("v").alias("v"), "filled")
 
 
 @register("""WITH e AS (SELECT *, epoch_us(date_trunc('day', ts)) AS d FROM events)
@@ -126,7 +126,7 @@ _CLOCK = f"""WITH e AS (SELECT *, epoch_us(ts) - epoch_us(date_trunc('day', ts))
 def clock_rollover(spark: SparkSession, sf_dir: str) -> DataFrame:
     clock = times.clock_micros(F.date_format("ts", "HH:mm:ss.SSS"))
     rows = events(spark, sf_dir).withColumn("clock", clock)
-    return timeline.rollover_days(rows, key="user_id", clock_us="clock", tie=["ts", "event_id"], back_s=7200, midnight=True).select("event_id", "clock", "days")
+    return timeline.rollover_days(rows, key="user_id", clock_us="clock", tie=["ts", "event_id"], back_s=7200, midnight=True, chunk=timeline.time_chunk("ts", 86_400_000_000)).select("event_id", "clock", "days")
 
 
 _THRESHOLDS = "SELECT event_type, quantile_cont(value, 0.75) FILTER (value > 1) AS active_base, greatest(quantile_cont(value, 0.99) FILTER (value > 1), 50) AS suspicious FROM events GROUP BY 1"
@@ -181,7 +181,7 @@ round(CASE WHEN count(value) >= 3 THEN coalesce(CASE WHEN stddev_pop(value) > 0
 round(quantile_cont(value, 0.25), 6) AS p25, round(quantile_cont(value, 0.75), 6) AS p75, round(sqrt(avg(value * value)), 6) AS rms, round(coalesce(sum(abs(sign(value) - sign(b))), 0) / 2, 6) AS crossings,
 CAST(count(*) FILTER (value > b AND value > a AND value > 0.5 * top) AS BIGINT) AS peaks, round(CASE WHEN stddev_pop(value) FILTER (b IS NOT NULL) > 0 AND stddev_pop(b) > 0 THEN covar_pop(value, b) / (stddev_pop(value) FILTER (b IS NOT NULL) * stddev_pop(b)) WHEN count(value) = 1 THEN 0 END, 6) AS autocorr FROM p GROUP BY 1""")
 def slot_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = features.distribution(events(spark, sf_dir), "value", slot=["user_id"], ts="ts", tie="event_id")
+    out = features.distribution(events(spark, sf_dir), "value", slot=["user_id"], ts="ts", tie="event_id", chunk_us=86_400_000_000)
     digits = {"total": 4, "kurt": 5}
     return out.select("user_id", "n", "peaks", *(F.round(c, digits.get(c, 6)).alias(c) for c in out.columns if c not in ("user_id", "n", "peaks")))
 
@@ -204,7 +204,7 @@ m AS (SELECT a.user_id, count(*) FILTER (a.i <= a.n - 1 AND b.i <= a.n - 1 AND g
 SELECT u.user_id, round(CASE WHEN aa > 0 AND bb > 0 THEN -ln(aa / bb) ELSE 0 END, 6) AS sample_entropy FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN m USING (user_id)""")
 def slot_sample_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's whole history is a slot, so no slot is gathered anywhere."""
-    out = features.sample_entropy_of_any_size(events(spark, sf_dir), "value", slot=["user_id"], ts="ts", tie="event_id")
+    out = features.sample_entropy_of_any_size(events(spark, sf_dir), "value", slot=["user_id"], ts="ts", tie="event_id", chunk_us=86_400_000_000)
     return out.select("user_id", r6("sample_entropy").alias("sample_entropy"))
 
 
@@ -234,9 +234,9 @@ def posture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(f"""WITH a AS (SELECT event_id, (value * 7) % 360 - 180 AS g, user_id, ts FROM events), d AS (SELECT event_id, g - lag(g) OVER {_W} AS d FROM a) SELECT event_id, round(CASE WHEN d > 180 THEN d - 360 WHEN d < -180 THEN d + 360 ELSE d END, 6) AS turn FROM d""")
 def wrapped_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = events(spark, sf_dir).withColumn("g", (F.col("value") * 7) % 360 - 180)
-    turn = vectors.wrapped(F.col("g") - F.lag("g").over(timeline.order("user_id", "ts", "event_id")))
-    return rows.select("event_id", r6(turn).alias("turn"))
+    rows = events(spark, sf_dir).select("event_id", "user_id", "ts", ((F.col("value") * 7) % 360 - 180).alias("g"))
+    near = timeline.beside(rows, {"g": F.col("g")}, **SERIES, chunk_us=86_400_000_000, after=False)
+    return near.select("event_id", r6(vectors.wrapped(F.col("g") - F.col("before_g"))).alias("turn"))
 
 
 @register("""SELECT user_id, round(quantile_cont(value, 0.5) FILTER (hour(ts) >= 23 OR hour(ts) < 4), 6) AS zero_value, count(*) FILTER (hour(ts) >= 23 OR hour(ts) < 4) AS n_samples FROM events GROUP BY 1""")
@@ -292,13 +292,13 @@ _CROSSED = f"""{_CLOCK}, x AS (SELECT *, coalesce(step < -7200000000 OR (step <
 
 @register(f"{_CROSSED} SELECT user_id, count(*) AS rows, count(*) FILTER (crossed) AS crossings, arg_min(clock, (ts, event_id)) AS first_us, arg_max(clock, (ts, event_id)) AS last_us, count(*) FILTER (crossed) >= 2 AS odd FROM x GROUP BY 1")
 def rollover_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return timeline.rollover_log(_clocked(spark, sf_dir), key="user_id", clock_us="clock", tie=["ts", "event_id"], back_s=7200, midnight=True)
+    return timeline.rollover_log(_clocked(spark, sf_dir), key="user_id", clock_us="clock", tie=["ts", "event_id"], back_s=7200, midnight=True, chunk=timeline.time_chunk("ts", 86_400_000_000))
 
 
 @register(f"""{_CROSSED}, n AS (SELECT user_id, crossed, CAST(sum(CASE WHEN crossed THEN 1 ELSE 0 END) OVER {_W} AS INTEGER) AS number, CAST(row_number() OVER {_W} - 1 AS INTEGER) AS row, b AS before_us, clock AS clock_us FROM x)
 SELECT user_id, number, row, before_us, clock_us, CASE WHEN before_us >= 84600000000 AND clock_us <= 1800000000 THEN 'midnight' ELSE 'long_step' END AS rule FROM n WHERE crossed AND number <= 10""")
 def rollover_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return timeline.rollover_triggers(_clocked(spark, sf_dir), key="user_id", clock_us="clock", tie=["ts", "event_id"], back_s=7200, midnight=True)
+    return timeline.rollover_triggers(_clocked(spark, sf_dir), key="user_id", clock_us="clock", tie=["ts", "event_id"], back_s=7200, midnight=True, chunk=timeline.time_chunk("ts", 86_400_000_000))
 
 
 _SPAN = "PARTITION BY series, second ORDER BY t, o, x ROWS BETWEEN"
@@ -360,6 +360,22 @@ def thin_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.thin_slots(events(spark, sf_dir), ts="ts", width="10 minutes", least=2, key="event_type")
 
 
+@register("SELECT event_type, round(quantile_cont(value, 0.001), 6) AS p001, round(quantile_cont(value, 0.5), 6) AS p5, round(quantile_cont(value, 0.999) FILTER (user_id % 3 = 0), 6) AS p999 FROM events GROUP BY 1")
+def selected_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By selection, as for keys of any number of rows."""
+    third = F.when(F.col("user_id") % 3 == 0, F.col("value"))
+    wanted = {"p001": (F.col("value"), 0.001), "p5": (F.col("value"), 0.5), "p999": (third, 0.999)}
+    out = quantiles.exact_quantiles(events(spark, sf_dir), wanted, keys=["event_type"], few=100)
+    return out.select("event_type", *(r6(c).alias(c) for c in wanted))
+
+
+@register()
+def filtered_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen wards of users as signals at 160 Hz, 3 to 70 Hz; tested against the filter of one piece."""
+    rows = events(spark, sf_dir).withColumn("ward", F.col("user_id") % 16)
+    return signals.zero_phase_series(rows, *signals.butterworth(3.0, 70.0, 160.0, 4), key="ward", ts="ts", value="value", size=4096)
+
+
 register(second_tables.COUNTS_SQL)(second_tables.angle_cleaning_figures)
 register(second_tables.IMU_SQL)(second_tables.imu_second_features)
 register(second_tables.ANGLE_SQL)(second_tables.angle_second_features)

@@ -165,7 +165,7 @@ def sample_entropy_of_any_size(df: DataFrame, value: str, *, slot: list[str], ts
     """
     held = df.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(*slot, ts, tie, F.col(value).cast("double").alias("x0"))
     along = {"key": slot, "chunk": time_chunk(ts, chunk_us)}
-    rows = running_sums(held, {"i": F.lit(1).cast("long")}, by=[F.col(ts), F.col(tie)], **along)
+    rows = running_sums(held, {"_place": F.lit(1).cast("long")}, by=[F.col(ts), F.col(tie)], **along).select(*slot, F.col("_place").alias("i"), "x0")
     # a template's second and third value are those of the places after it
     ahead = lambda k: rows.select(*slot, (F.col("i") - k).alias("i"), F.col("x0").alias(f"x{k}"))
     radius = held.groupBy(*slot).agg((r * F.stddev_pop("x0")).alias("r"), F.count("*").alias("n"))

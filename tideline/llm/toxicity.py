@@ -29,6 +29,8 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from . import ragged
 from .shared import crc_mod, materialize
 
+#: Bytes of text that a task works on at a time; its arrays take some 50 times as many.
+SLICE_BYTES = 1 << 20
 SAMPLE_ROWS = 20_000  # labelled rows that the model is fitted on, at most
 TERMS = 4096
 _EDGE = bytes(b for b in range(33, 127) if not chr(b).isalnum())
@@ -220,7 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     shared = docs.sparkSession.sparkContext.broadcast(known)  # bounded by max_terms
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, buf, offs in ragged.slices(batches, "_text"):
+        for part, buf, offs in ragged.slices(batches, "_text", SLICE_BYTES):
             _, doc, term, n = slice_terms(buf, offs, shared.value)
             votes = np.zeros((part.num_rows, len(voters)), np.int64)
             own = vote_of[term] >= 0
@@ -248,7 +250,7 @@ def _scored(docs: DataFrame, model: ToxicityModel, rest: Column, text: str) -> D
     rows = docs.select(rest.alias("rest"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, buf, offs in ragged.slices(batches, "text"):
+        for part, buf, offs in ragged.slices(batches, "text", SLICE_BYTES):
             yield pa.record_batch([part.column("rest"), pa.array(shared.value.score(buf, offs))], ["rest", "score"])
 
     return rows.mapInArrow(run, StructType([rows.schema["rest"], StructField("score", DoubleType())]))

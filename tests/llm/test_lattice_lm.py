@@ -96,3 +96,16 @@ def test_edge_tables(spark):
     rows = spark.createDataFrame([(None, "a b", 1, 2), (5, "a", 1, 2), (5, "a", 1, 2), (low, None, 1, 2)], "doc_id long, text string, number long, train long")
     got = sorted((r.doc_id or 0, r.n_tokens) for r in lattice_scores(rows, VOCABULARY).collect())
     assert got == [(low, 1), (0, 3), (5, 2), (5, 2)]
+
+
+def test_query_scores_held_out_rows_near_the_base(spark, tmp_path):
+    from tideline.llm.queries import op6_lattice_scores
+
+    rng = np.random.default_rng(4)
+    lex = ["".join(rng.choice(["an", "th", "ré", "tion", "x", "st,"], rng.integers(2, 5))) for _ in range(400)]
+    rows = [(i, " ".join(rng.choice(lex, 50, p=np.arange(400, 0, -1) / 80200))) for i in range(200)] + [(200, None), (201, "zz É 漢字" * 300), (202, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = op6_lattice_scores(spark, str(tmp_path)).collect()
+    assert len(got) == 203 and all(math.isfinite(r.score) and r.score < 0 for r in got)
+    out = [r for r in got if r.held_out and r.doc_id < 200]
+    assert sum(r.score for r in out) > 1.1 * sum(r.base_score for r in out)

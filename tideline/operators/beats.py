@@ -47,12 +47,13 @@ def _interpolated(points: DataFrame, at: DataFrame, by: list[str]) -> DataFrame:
     """``at`` (``by, t``) with the ``value`` of ``points`` (``by, t, x``) at t, straight between the two around it and level beyond the ends; 0 for fewer than two points."""
     none = F.lit(None).cast("double")
     known, asked = points.select(*by, "t", "x", F.lit(0).alias("_o")), at.select(*by, "t", none.alias("x"), F.lit(1).alias("_o"))
-    w = Window.partitionBy(*by).orderBy("t", "_o", "x")
+    # the rows ahead as those behind in the other direction: Spark goes through a frame that ends with its partition again for every row
+    w, back = Window.partitionBy(*by).orderBy("t", "_o", "x"), Window.partitionBy(*by).orderBy(F.desc("t"), F.desc("_o"), F.desc("x"))
     point = F.when(F.col("_o") == 0, F.struct("t", "x"))
     merged = known.unionByName(asked).select(
         *by, "t", "_o",
         F.last(point, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_b"),
-        F.first(point, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)).alias("_a"),
+        F.last(point, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)).alias("_a"),
         F.count_if(F.col("_o") == 0).over(Window.partitionBy(*by)).alias("_n"),
     )
     b, a = F.col("_b"), F.col("_a")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tideline.operators import anomaly, features, timeline
 from tideline.operators.quantiles import exact_quantiles
-from tideline.operators.scans import framed, neighbours, running_sums
+from tideline.operators.scans import framed, framed_sums, neighbours, running_sums
 from tideline.plans import movement
 
 NOON = dt.datetime(2025, 1, 2, 12)
@@ -128,3 +128,31 @@ def test_sample_entropy_by_cells(spark):
     df = spark.createDataFrame([(k, NOON + dt.timedelta(seconds=i), i, float(v)) for k, x in parts.items() for i, v in enumerate(x)] + [("a", NOON, 500, None)], "k string, ts timestamp_ntz, i int, v double")
     got = {r.k: r.sample_entropy for r in features.sample_entropy_of_any_size(df, "v", slot=["k"], ts="ts", tie="i", chunk_us=25_000_000).collect()}
     assert got == pytest.approx({k: features.sample_entropy(x[None])[0] for k, x in parts.items()})
+
+
+def test_thousands_of_rows_at_one_time(spark):
+    """Rank times a million passes 32 bits from the 2148th row on."""
+    df = spark.range(3000).select(F.lit("a").alias("k"), F.lit("2024-01-01").cast("timestamp_ntz").alias("ts"), "id")
+    got = timeline.spread_repeats(df, key="k", ts="ts", tie="id").agg(F.max("spread_us") - F.min("spread_us"), F.countDistinct("spread_us")).first()
+    assert tuple(got) == (999_666, 3000)
+
+
+def test_framed_sums_make_no_pass_per_row(spark):
+    """Every row's own frame, as plain sums, by running sums alone; null keys and times, ties and NaN included."""
+    rng = np.random.default_rng(1)
+    rows = [(None if i % 7 == 0 else "ab"[i % 2], None if i % 50 == 0 else int(t), float("nan") if i == 33 else None if i % 11 == 0 else float(v)) for i, (t, v) in enumerate(zip(rng.integers(-60, 200, 300), rng.integers(0, 9, 300)))]
+    df = spark.createDataFrame(rows, "k string, t long, v double")
+    out = framed_sums(df, {"s": F.sum("v"), "n": F.count("*")}, key=["k"], at=F.col("t"), back=4, ahead=5)
+    assert "rangeframe, -" not in out._jdf.queryExecution().toString().lower()
+    want = []
+    for k, t, v in rows:
+        own = [x for a, b, x in rows if a == k and (b is None if t is None else b is not None and t - 4 <= b <= t + 5)]
+        held = [x for x in own if x is not None]
+        want.append((k, t, v, sum(held) if held else None, len(own)))
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in out.collect())
+
+
+def test_centred_mean_slides_no_frame_over_rows(spark):
+    df = series(spark)
+    plan = timeline.centred_mean(df, ["v"], key="k", ts="ts")._jdf.queryExecution().toString().lower()
+    assert "rangeframe, -" not in plan

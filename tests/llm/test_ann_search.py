@@ -49,3 +49,21 @@ def test_recall_where_lists_outnumber_probes(spark):
         hits += len(set(np.argsort(d)[:10]) & set(got[got.query_id == q].vec_id))
     print("recall", hits / 2000)
     assert hits >= 0.9 * 2000
+
+
+@pytest.mark.parametrize("offset", [0.0, 1e7])
+def test_recall_of_close_vectors_among_far_ones(spark, offset):
+    """Codes fitted to far vectors do not tell close ones apart; far from 0, squares lose digits."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(4000, 16))
+    x[:2000] = x[0] + 1e-3 * rng.normal(size=(2000, 16))
+    x = x[rng.permutation(4000)] + offset
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = nearest(df, F.col("vec_id") % 40 == 0).toPandas()
+    hits = 0
+    for q in range(0, 4000, 40):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        hits += len(set(np.argsort(d)[:10]) & set(got[got.query_id == q].vec_id))
+    print("recall", hits / 1000)
+    assert hits >= 0.95 * 1000

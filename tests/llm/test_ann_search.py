@@ -67,3 +67,15 @@ def test_recall_of_close_vectors_among_far_ones(spark, offset):
         hits += len(set(np.argsort(d)[:10]) & set(got[got.query_id == q].vec_id))
     print("recall", hits / 1000)
     assert hits >= 0.95 * 1000
+
+
+def test_a_visited_list_loses_none_of_its_nearest(spark):
+    """With one list every query visits all; whatever is missed then, the codes lost."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(4000, 96))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = nearest(df, F.col("vec_id") % 40 == 0, lists=1).toPandas()
+    for q in range(0, 4000, 40):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        assert got[got.query_id == q].sort_values("rank").vec_id.tolist() == np.argsort(d)[:10].tolist()

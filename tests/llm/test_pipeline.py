@@ -38,3 +38,13 @@ def test_empty_and_null_rows(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().count() == 2
+
+
+def test_line_stage_finds_what_shares_no_run(spark):
+    """Short lines, and lines of which every other word is mistyped, go in the pipeline's line stage too."""
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(40)]
+    texts = ["acknowledgement", "acknowlegdement", " ".join(words), " ".join(w if k % 2 else w[:3] + "9" + w[4:] for k, w in enumerate(words)), "something else"]
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], columns)
+    assert {r.doc_id for r in corpus_pipeline.dedup_lines(spark, docs, "").collect()} == {0, 2, 4}
